@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing
+from . import decontamination, fingerprints, line_dedup, packing, sharding
 from .common import table
 
 
@@ -27,5 +27,41 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    carry = {"size": (F.length(text) + 16).cast("long"), "text_crc32": F.crc32(text)}
+    dealt = sharding.assign(table(spark, sf_dir, "documents"), 40, carry=carry)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op8_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
+def op9_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source: the cleaned text, its lines, and those cut."""
+    cleaned = line_dedup.clean(table(spark, sf_dir, "documents"), F.col("source"))
+    return cleaned.select("doc_id", "source", "text", F.col("line_dedup.n_lines").cast("long").alias("n_lines"), F.col("line_dedup.n_cut").cast("long").alias("n_cut"))
+
+
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_stratified_sharding, op7_benchmark_decontamination, op8_bottom_k_fingerprints, op9_site_line_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op9_site_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+        each_line AS (SELECT DISTINCT k, source, trim(l, ' ' || chr(9) || chr(13)) AS line FROM (SELECT k, source, unnest(lines) AS l FROM d)),
+        pages AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+        bad AS (
+            SELECT e.source, e.line FROM each_line e JOIN pages p ON e.source IS NOT DISTINCT FROM p.source
+            WHERE e.line <> '' GROUP BY e.source, e.line, p.n HAVING count(*) >= {line_dedup.LEAST_PAGES} AND count(*) > {line_dedup.RATIO}::DOUBLE * p.n
+        ),
+        bad_of AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
+        kept AS (
+            SELECT d.doc_id, d.source, d.text, d.lines,
+                   CASE WHEN b.bad IS NULL THEN d.lines ELSE list_filter(d.lines, lambda l: NOT list_contains(b.bad, trim(l, ' ' || chr(9) || chr(13)))) END AS kept
+            FROM d LEFT JOIN bad_of b ON d.source IS NOT DISTINCT FROM b.source
+        )
+        SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
+               coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_cut
+        FROM kept
+    """,
+}
