@@ -3,11 +3,12 @@
 A profile is a text's (or a language's) most frequent letter n-grams in order of frequency; n-grams come from words
 with a blank on either side. A document is given the language whose profile is the least out of place: the sum, over
 the document's n-grams, of the difference of ranks, or of the profile's length for those that it lacks.
+
+An n-gram is a number, 16 bits for each of its up to four characters (of characters beyond these, the low 16 bits).
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,137 +18,145 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 NO_LANGUAGE = "und"
-SIZES = (1, 2, 3, 4)
+LONGEST = 4
 LENGTH = 400
-#: Words and n-grams that a worker remembers; beyond it, it starts anew.
-MOST_WORDS, MOST_GRAMS = 150_000, 400_000
-
-_BREAKS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
-
-
-def words(raw: bytes) -> list[bytes]:
-    """Runs of ASCII letters and of other characters' bytes; the latter are sorted out by grams()."""
-    return raw.lower().translate(_BREAKS).split()
-
-
-def grams(word: bytes) -> list[str]:
-    out: list[str] = []
-    text = word.decode("utf-8", "replace").lower()
-    for run in [text] if text.isalpha() else "".join(c if c.isalpha() else " " for c in text).split():
-        padded = f" {run} "
-        for n in SIZES:
-            out += [g for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " "]
-    return out
-
-
-def count_grams(raws: Iterator[tuple[str, bytes]], most: int = MOST_WORDS) -> Iterator[tuple[str, str, int]]:
-    """(language, n-gram, count), in parts: a part ends when `most` different words have been seen."""
-    seen: dict[str, Counter] = {}
-    held = 0
-
-    def part() -> Iterator[tuple[str, str, int]]:
-        for lang, counted in seen.items():
-            total: Counter = Counter()
-            for word, n in counted.items():
-                for g in grams(word):
-                    total[g] += n
-            yield from ((lang, g, n) for g, n in total.items())
-        seen.clear()
-
-    for lang, raw in raws:
-        counted = seen.setdefault(lang, Counter())
-        before = len(counted)
-        counted.update(words(raw))
-        held += len(counted) - before
-        if held >= most:
-            yield from part()
-            held = 0
-    yield from part()
-
-
-def fit(docs: DataFrame, lang: Column, text: Column, length: int = LENGTH) -> dict[str, list[str]]:
+#: n-grams that a worker gathers before it sums them up.
+GATHERED = 4_000_000
+BLANK = 0x20
+
+_SYMBOLS: list[np.ndarray] = []
+
+
+def symbols() -> np.ndarray:
+    """Of each code point: itself, in 16 bits, if it is a letter, else a blank."""
+    if not _SYMBOLS:
+        letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        own = (np.arange(0x110000) & 0xFFFF).astype(np.uint64)
+        own[own == 0] = 1
+        own[own == BLANK] = 1
+        _SYMBOLS.append(np.where(letters, own, np.uint64(BLANK)))
+    return _SYMBOLS[0]
+
+
+def grams(raw: bytes | None) -> np.ndarray:
+    """The n-grams of a text, one for each occurrence; none without letters."""
+    if not raw:
+        return np.zeros(0, np.uint64)
+    text = f" {raw.decode('utf-8', 'replace').lower()} "
+    s = symbols()[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+    blank = s == BLANK
+    keep = np.ones(len(s), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    s, blank = s[keep], blank[keep]
+    if len(s) < 3:
+        return np.zeros(0, np.uint64)
+    out = [s[~blank]]
+    code, inside = s, np.ones(len(s), bool)
+    for n in range(2, LONGEST + 1):
+        if len(s) < n:
+            break
+        code = code[:-1] << np.uint64(16) | s[n - 1 :]
+        if n > 2:  # no blank but at the ends
+            inside = inside[:-1] & ~blank[n - 2 : len(s) - 1]
+        else:
+            inside = inside[:-1]
+        out.append(code[inside])
+    return np.concatenate(out)
+
+
+def counted(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, sorted, and how often each occurs."""
+    if not len(codes):
+        return codes, np.zeros(0, np.int64)
+    if weights is None:
+        codes = np.sort(codes)
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes, weights = codes[order], weights[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    if weights is None:
+        return codes[first], np.diff(np.append(first, len(codes)))
+    return codes[first], np.add.reduceat(weights, first)
+
+
+def count_grams(rows: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, n-grams, counts); summed up whenever GATHERED n-grams of a language have come, so memory follows the number of different ones."""
+    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    waiting: dict[str, list[np.ndarray]] = {}
+    held: dict[str, int] = {}
+
+    def settle(lang: str) -> None:
+        codes, n = counted(np.concatenate(waiting.pop(lang)))
+        held[lang] = 0
+        if lang in sums:
+            had, m = sums[lang]
+            codes, n = counted(np.concatenate([had, codes]), np.concatenate([m, n]))
+        sums[lang] = codes, n
+
+    for lang, raw in rows:
+        got = grams(raw)
+        waiting.setdefault(lang, []).append(got)
+        held[lang] = held.get(lang, 0) + len(got)
+        if held[lang] >= GATHERED:
+            settle(lang)
+        if len(sums.get(lang, ((),))[0]) > GATHERED:
+            yield lang, *sums.pop(lang)
+    for lang in list(waiting):
+        settle(lang)
+    for lang, (codes, n) in sums.items():
+        yield lang, codes, n
+
+
+def fit(docs: DataFrame, lang: Column, text: Column, length: int = LENGTH) -> dict[str, list[int]]:
     """Each language's profile from all rows whose language and text aren't null. Counts are summed over the whole input; `length` n-grams a language come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((a, b.as_py()) for x in batches for a, b in zip(x.column(0).to_pylist(), x.column(1), strict=True))
-        out: list[tuple] = []
-        for row in count_grams(rows):
-            out.append(row)
-            if len(out) == 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "gram", "n"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "gram", "n"])
+        for name, codes, n in count_grams(rows):
+            for at in range(0, len(codes), 100_000):
+                part = codes[at : at + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part), pa.array(n[at : at + 100_000].astype(np.int64))], ["lang", "gram", "n"])
 
     given = docs.select(lang.cast("string").alias("lang"), text.cast("binary").alias("text")).where("lang is not null and text is not null")
-    counts = given.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = given.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    profiles: dict[str, list[str]] = {}
+    profiles: dict[str, list[int]] = {}
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= length).orderBy("lang", "rank").collect():
         profiles.setdefault(r.lang, []).append(r.gram)
     return profiles
 
 
 class Identifier:
-    """Profiles against documents, with what words and n-grams come to remembered from document to document."""
+    """Language profiles, looked up together."""
 
-    def __init__(self, profiles: dict[str, list[str]], length: int = LENGTH):
+    def __init__(self, profiles: dict[str, list[int]], length: int = LENGTH):
         self.langs = sorted(profiles)
         self.length = length
-        self.ranks = [{g: i for i, g in enumerate(profiles[x])} for x in self.langs]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.of_word: dict[bytes, np.ndarray] = {}
-        self.place = np.full((len(self.langs), 1 << 14), self.length, np.int32)
-        self.code = np.zeros(1 << 14, np.uint64)
-
-    def _id(self, gram: str) -> int:
-        i = self.ids.get(gram)
-        if i is None:
-            i = self.ids[gram] = len(self.ids)
-            if i == self.place.shape[1]:
-                self.place = np.concatenate([self.place, np.full_like(self.place, self.length)], 1)
-                self.code = np.concatenate([self.code, np.zeros_like(self.code)])
-            for k, ranks in enumerate(self.ranks):
-                self.place[k, i] = ranks.get(gram, self.length)
-            self.code[i] = int.from_bytes(gram.encode("utf-8").ljust(8, b"\0")[:8], "big")  # settles ties the same way everywhere
-        return i
-
-    def _grams(self, word: bytes) -> np.ndarray:
-        got = self.of_word.get(word)
-        if got is None:
-            got = np.array([self._id(g) for g in grams(word)], np.int64)
-            if len(word) <= 64:
-                self.of_word[word] = got
-        return got
+        own = [np.array(profiles[x], np.int64).view(np.uint64) for x in self.langs]
+        self.known = np.unique(np.concatenate([*own, np.array([0], np.uint64)]))
+        self.place = np.full((len(own), len(self.known)), length, np.int64)
+        for i, codes in enumerate(own):
+            self.place[i, np.searchsorted(self.known, codes)] = np.arange(len(codes))
 
     def predict(self, raw: bytes | None) -> tuple[str, float]:
         """The language and 1 less the distance as a share of the largest possible; no language and 0 without letters."""
-        counted = Counter(words(raw)) if raw else {}
-        if not counted or not self.langs:
+        codes, n = counted(grams(raw))
+        if not len(codes) or not self.langs:
             return NO_LANGUAGE, 0.0
-        if len(self.of_word) > MOST_WORDS or len(self.ids) > MOST_GRAMS:
-            self._forget()
-        each = [self._grams(w) for w in counted]
-        ids = np.concatenate(each)
-        if not len(ids):
-            return NO_LANGUAGE, 0.0
-        times = np.repeat(np.fromiter(counted.values(), np.int64, len(counted)), [len(x) for x in each])
-        total = np.bincount(ids, times)
-        found = np.flatnonzero(total)
-        if len(found) > self.length:
-            least = np.partition(total[found], -self.length)[-self.length]
-            found = found[total[found] >= least]
-        top = found[np.lexsort((self.code[found], -total[found]))][: self.length]
-        there = self.place[:, top]
+        if len(codes) > self.length:  # codes are sorted, so a stable sort settles ties by code
+            least = np.partition(n, -self.length)[-self.length]
+            some = n >= least
+            codes, n = codes[some], n[some]
+        top = codes[np.argsort(-n, kind="stable")[: self.length]]
+        at = np.searchsorted(self.known, top)
+        at[at == len(self.known)] = 0
+        there = np.where(self.known[at] == top, self.place[:, at], self.length)
         away = np.where(there == self.length, self.length, np.abs(there - np.arange(len(top)))).sum(1)
         best = int(np.argmin(away))
         return self.langs[best], 1.0 - float(away[best]) / (self.length * len(top))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[str]], text: Column, keep: list[Column], length: int = LENGTH) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, list[int]], text: Column, keep: list[Column], length: int = LENGTH) -> DataFrame:
     """The `keep` columns, lang_pred and score, a row for each input row.
 
     Null texts and texts without letters are "und" with score 0, as everything is when no profile was learned. Equal
@@ -165,5 +174,3 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], text: Column, keep:
 
     kept = given.schema["kept"].dataType.simpleString()
     return given.mapInArrow(run, f"kept {kept}, lang_pred string, score double").select("kept.*", "lang_pred", "score")
-
-
