@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, line_dedup, packing, sharding, url_filter, warc
+from . import decontamination, fingerprints, language_id, line_dedup, ngram_join, packing, quality, sharding, url_filter, warc
 from .common import held_out, table
 
 
@@ -16,6 +16,10 @@ def op1_url_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, ["page_id"])
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), n=4, near=85, of=100)
+
+
 def op3_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language_id.fit(docs.where(~held_out(F.col("doc_id"))), F.col("lang"), F.col("text"))
@@ -61,7 +65,15 @@ def op9_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "source", "text", F.col("line_dedup.n_lines").cast("long").alias("n_lines"), F.col("line_dedup.n_cut").cast("long").alias("n_cut"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter_cascade, op3_language_profiles, op4_zip_warc, op5_best_fit_packing, op6_stratified_sharding, op7_benchmark_decontamination, op8_bottom_k_fingerprints, op9_site_line_dedup)}
+def op10_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = quality.train(docs, labels)
+    scored = quality.score(docs, model, [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")], F.col("text"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter_cascade, op2_ngram_jaccard_join, op3_language_profiles, op4_zip_warc, op5_best_fit_packing, op6_stratified_sharding, op7_benchmark_decontamination, op8_bottom_k_fingerprints, op9_site_line_dedup, op10_additive_quality)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter_cascade": """
         WITH rules(verdict, rule, h, p) AS (VALUES
