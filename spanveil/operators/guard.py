@@ -88,36 +88,36 @@ class Guard:
             hints = [d.hint for _, d in scans]
             worth = F.lit(True) if any(h is None for h in hints) else _any(text, hints)
             # rows without any hint reach Python as nulls
-            held = held.withColumn("_scanned", scanning(scans)(F.when(valid & worth, text)))
-        parts = [F.coalesce(F.col("_scanned.found"), empty)] if scans else []
+            held = held.withColumn("_sv_scanned", scanning(scans)(F.when(valid & worth, text)))
+        parts = [F.coalesce(F.col("_sv_scanned.found"), empty)] if scans else []
         for i, d in natives:
             own = F.transform(d.spans(text), _raw(i))
             parts.append(F.when(valid & text.rlike(d.hint), own).otherwise(empty) if d.hint else F.when(valid, own).otherwise(empty))
         found = F.concat(*parts) if parts else empty
-        held = held.withColumn("_found", F.when(text.isNull(), empty).otherwise(found))
+        held = held.withColumn("_sv_found", F.when(text.isNull(), empty).otherwise(found))
         keyed = F.transform(
-            F.col("_found"),
+            F.col("_sv_found"),
             lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), self._finding(r)["entity"].alias("entity"), self._finding(r)["detector"].alias("detector"), (-self._finding(r)["confidence"]).alias("c"), r["reg"].alias("reg"), r["local"].alias("local")),
         )
-        failed = F.col("_scanned.failed") if scans else F.lit(None).cast("int")
+        failed = F.col("_sv_scanned.failed") if scans else F.lit(None).cast("int")
         names = F.array(*(F.lit(d.name) for d in self.detectors)) if self.detectors else F.array(F.lit(""))
         findings = F.transform(
             F.array_sort(keyed), lambda k: F.struct(k["entity"].alias("entity"), k["start"].alias("start"), k["end"].alias("end"), (-k["c"]).alias("confidence"), k["detector"].alias("detector"))
         ).cast(NONE)
         status = F.when(~valid, INVALID_TEXT).when(failed.isNotNull(), DETECTOR_ERROR).otherwise(OK)
-        held = held.withColumn("_status", status)
+        held = held.withColumn("_sv_status", status)
         out = F.struct(
-            F.when((F.col("_status") == OK) & (F.size("_found") > 0), findings).otherwise(F.array().cast(NONE)).alias("findings"),
-            F.col("_status").alias("status"),
+            F.when((F.col("_sv_status") == OK) & (F.size("_sv_found") > 0), findings).otherwise(F.array().cast(NONE)).alias("findings"),
+            F.col("_sv_status").alias("status"),
             F.get(names, failed).alias("error_detector"),
-            (F.col("_scanned.field") if scans else F.lit(None).cast("string")).alias("error_field"),
+            (F.col("_sv_scanned.field") if scans else F.lit(None).cast("string")).alias("error_field"),
         )
         return held.withColumn(into, once(out)).select(*(F.col(c) for c in df.columns if c != into), into)
 
     def findings_table(self, df: DataFrame, keys: list[str], text_col: str = "text", resolved: bool = False) -> DataFrame:
         """One row per finding: keys, entity, start, end, confidence, detector. The text doesn't come along."""
-        found = self.detect(df.select(*dict.fromkeys([*keys, text_col])), text_col).select(*keys, F.col("detected.findings").alias("_findings"))
-        spans = F.col("_findings")
+        found = self.detect(df.select(*dict.fromkeys([*keys, text_col])), text_col).select(*keys, F.col("detected.findings").alias("_sv_findings"))
+        spans = F.col("_sv_findings")
         return found.select(*keys, F.inline(resolve(spans) if resolved else spans))
 
     def mask(self, df: DataFrame, row_key: str | Column, text_col: str = "text", into: str = "masked") -> DataFrame:
@@ -128,21 +128,21 @@ class Guard:
         """
         text, raw = F.col(text_col), F.col(text_col).cast("binary")
         # each step is a column of its own: a struct's fields would be computed anew wherever they are named
-        held = self.detect(df, text_col, "_detected").withColumns({"_findings": F.col("_detected.findings"), "_seen": F.col("_detected.status")}).drop("_detected")
-        held = held.withColumn("_resolved", resolve(F.col("_findings")))
-        held = held.withColumn("_masked", F.filter("_resolved", lambda f: self.action(f["entity"]) == MASK))
+        held = self.detect(df, text_col, "_sv_detected").withColumns({"_sv_findings": F.col("_sv_detected.findings"), "_sv_seen": F.col("_sv_detected.status")}).drop("_sv_detected")
+        held = held.withColumn("_sv_resolved", resolve(F.col("_sv_findings")))
+        held = held.withColumn("_sv_masked", F.filter("_sv_resolved", lambda f: self.action(f["entity"]) == MASK))
         key = row_key if isinstance(row_key, Column) else F.col(row_key)
-        some = F.size("_masked") > 0
-        held = held.withColumn("_space", F.when(some, masking.namespace(text, self.key, key, F.size("_masked"))))
-        held = held.withColumn("_tokens", F.when(some & F.col("_space").isNotNull(), masking.token_list(raw, F.col("_masked"), F.col("_space"))).otherwise(F.array().cast(masking.TOKENS)))
-        blocks = F.exists("_resolved", lambda f: self.action(f["entity"]) == BLOCK)
-        held = held.withColumn("_status", F.when(F.col("_seen") != OK, F.col("_seen")).when(blocks, BLOCKED).when(some & F.col("_space").isNull(), COLLISION).otherwise(OK))
-        good = F.col("_status") == OK
+        some = F.size("_sv_masked") > 0
+        held = held.withColumn("_sv_space", F.when(some, masking.namespace(text, self.key, key, F.size("_sv_masked"))))
+        held = held.withColumn("_sv_tokens", F.when(some & F.col("_sv_space").isNotNull(), masking.token_list(raw, F.col("_sv_masked"), F.col("_sv_space"))).otherwise(F.array().cast(masking.TOKENS)))
+        blocks = F.exists("_sv_resolved", lambda f: self.action(f["entity"]) == BLOCK)
+        held = held.withColumn("_sv_status", F.when(F.col("_sv_seen") != OK, F.col("_sv_seen")).when(blocks, BLOCKED).when(some & F.col("_sv_space").isNull(), COLLISION).otherwise(OK))
+        good = F.col("_sv_status") == OK
         out = F.struct(
-            F.when(good & some, masking.rebuilt(raw, F.col("_masked"), F.col("_tokens"))).when(good, text).alias("text"),
-            F.when(good, F.col("_resolved")).otherwise(F.array().cast(NONE)).alias("findings"),
-            F.when(good, F.col("_tokens")).otherwise(F.array().cast(masking.TOKENS)).alias("tokens"),
-            F.col("_status").alias("status"),
+            F.when(good & some, masking.rebuilt(raw, F.col("_sv_masked"), F.col("_sv_tokens"))).when(good, text).alias("text"),
+            F.when(good, F.col("_sv_resolved")).otherwise(F.array().cast(NONE)).alias("findings"),
+            F.when(good, F.col("_sv_tokens")).otherwise(F.array().cast(masking.TOKENS)).alias("tokens"),
+            F.col("_sv_status").alias("status"),
         )
         return held.withColumn(into, once(out)).select(*(F.col(c) for c in df.columns if c != into), into)
 
@@ -160,14 +160,14 @@ def _any(text: Column, hints: list[str]) -> Column:
 
 def restore(df: DataFrame, response_col: str, tokens_col: str, into: str = "restored") -> DataFrame:
     """`df` and struct `into`: text, misses, status. A null token set, or a response that isn't UTF-8, is an error with null text."""
-    held = df.withColumns({"_response": F.col(response_col), "_tokens": F.col(tokens_col)})
-    text, tokens = F.col("_response"), F.col("_tokens")
-    held = held.withColumn("_misses", masking.misses(text, F.coalesce(tokens, F.array().cast(masking.TOKENS))))
-    status = F.when(tokens.isNull(), NO_TOKENS).when(~F.coalesce(F.is_valid_utf8(text), F.lit(True)), INVALID_TEXT).when(F.col("_misses") > 0, RESTORE_MISS).otherwise(OK)
-    held = held.withColumn("_status", status)
-    good = F.col("_status").isin(OK, RESTORE_MISS)
-    out = F.struct(F.when(good, masking.restored(text, tokens)).alias("text"), F.when(good, F.col("_misses")).alias("misses"), F.col("_status").alias("status"))
-    return held.withColumn(into, once(out)).drop("_response", "_tokens", "_misses", "_status")
+    held = df.withColumns({"_sv_response": F.col(response_col), "_sv_tokens": F.col(tokens_col)})
+    text, tokens = F.col("_sv_response"), F.col("_sv_tokens")
+    held = held.withColumn("_sv_misses", masking.misses(text, F.coalesce(tokens, F.array().cast(masking.TOKENS))))
+    status = F.when(tokens.isNull(), NO_TOKENS).when(~F.coalesce(F.is_valid_utf8(text), F.lit(True)), INVALID_TEXT).when(F.col("_sv_misses") > 0, RESTORE_MISS).otherwise(OK)
+    held = held.withColumn("_sv_status", status)
+    good = F.col("_sv_status").isin(OK, RESTORE_MISS)
+    out = F.struct(F.when(good, masking.restored(text, tokens)).alias("text"), F.when(good, F.col("_sv_misses")).alias("misses"), F.col("_sv_status").alias("status"))
+    return held.withColumn(into, once(out)).drop("_sv_response", "_sv_tokens", "_sv_misses", "_sv_status")
 
 
 def entity_counts(findings: Column) -> Column:
