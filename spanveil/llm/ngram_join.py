@@ -5,8 +5,9 @@ Documents are sets of word n-grams (64-bit hashes). Equal sets are one node. The
 1. Which documents can be similar at all. Sizes fall into bands such that only sets of the same or of neighbouring
    bands can link. Between two such sets there is a largest possible difference H; when the tokens are dealt by a hash
    into H + 1 + e parts, at least e + 1 parts are equal in both. A set's parts (but for at most e small ones, which say
-   little) become signatures; sets that share one are in the same candidate component. No link is lost. What a task sees
-   twice it links itself, so that a signature costs a row per task and not one per document.
+   little) become signatures. A set that doesn't share enough signatures with others links with none, and leaves; of
+   the rest, sets that share one are in the same candidate component. No link is lost. What a batch holds twice is
+   counted and linked where it is, so that a hot signature costs a row per batch and not one per document.
 2. Token-group matrix. Within a candidate component the sets are put into groups of similar ones, and each group's
    union of tokens is stored. A query's overlap with the union bounds its overlap with every set in the group; only
    groups whose bound reaches the threshold are opened, and only sets that aren't connected with the query yet are
@@ -88,18 +89,22 @@ class Bands:
             starts.append(max(starts[-1] + 1, starts[-1] * of // near + 1))
         self.starts = np.array(starts)
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(parts, spare): for sets of this band, and of this and the next one."""
+    def parts(self, band: int) -> tuple[int, int, int]:
+        """(parts, skipped, need): of so many parts, a set's `skipped` smallest ones don't count, and linked sets of this band, or of this and the next one, are equal in `need` of the others at least."""
         a, b = int(self.starts[band + 2]) - 1, int(self.starts[band + 1]) - 1
         most = (a + b) * (self.of - self.near) // (self.of + self.near)
-        spare = (most + 1) // 4 if most >= 8 else 0
-        return most + 1 + spare, spare
+        spare = (most + 1) // 2 if most >= 8 else 0
+        return most + 1 + spare, spare // 2, spare - spare // 2 + 1
 
-    def signatures(self, own: np.ndarray, seed: int) -> np.ndarray:
+    def needs(self) -> list[int]:
+        return [self.parts(b)[2] for b in range(len(self.starts) - 2)]
+
+    def signatures(self, own: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of a set's parts, and the band of each."""
         band = int(np.searchsorted(self.starts, len(own), "right")) - 1
-        out = []
+        out, bands = [], []
         for b in (band, band - 1) if band else (band,):
-            k, spare = self.parts(b)
+            k, skipped, _ = self.parts(b)
             salt = (seed * 0x9E3779B97F4A7C15 + b * 0xD1B54A32D192ED03 + 1) % (1 << 64)
             part = (mix(own ^ U(salt)) % U(k)).astype(np.int64)
             n = np.bincount(part, minlength=k)
@@ -108,9 +113,11 @@ class Bands:
             sums = np.zeros(k, U)
             sums[at] = np.add.reduceat(mix(own + U(salt))[order], np.concatenate(([0], np.cumsum(n[at])[:-1])))
             sign = mix(sums + mix(np.arange(k, dtype=U) + U(salt)))
-            # at most `spare` parts are smaller than the (spare + 1)th smallest
-            out.append(sign[n >= np.partition(n, spare)[spare]] if spare else sign)
-        return np.concatenate(out)
+            if skipped:  # what is smaller than the (skipped + 1)th smallest; equal parts are of one size, so both sets skip alike
+                sign = sign[n >= np.partition(n, skipped)[skipped]]
+            out.append(sign)
+            bands.append(np.full(len(sign), b, U))
+        return np.concatenate(out), np.concatenate(bands)
 
 
 def link_sets(sets: list[np.ndarray], near: int, of: int, query: np.ndarray | None = None, group: int = GROUP) -> np.ndarray:
@@ -167,44 +174,103 @@ def _longs(*cols) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == U else c) for c in cols]
 
 
-def _signature_rows(sig: np.ndarray, nodes: np.ndarray, which: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(sig, node, hub): a row for each different signature, and one for each link to its first holder in this batch, dealt by the node."""
-    order = np.argsort(sig, kind="stable")
-    sig, which = sig[order], which[order]
-    new = np.concatenate(([True], sig[1:] != sig[:-1]))
-    hub = np.repeat(which[new], np.diff(np.append(np.flatnonzero(new), len(sig))))
-    yield sig[new], nodes[which[new]], nodes[which[new]]
-    links = np.unique(np.stack([which, hub], 1)[which != hub], axis=0)
-    if len(links):
-        yield mix(links[:, 0].astype(U)), nodes[links[:, 0]], nodes[links[:, 1]]
-
-
-
-def _edges(rows: DataFrame, n_rows: float) -> DataFrame:
-    """Edges u_a, u_b, v_a, v_b of the signature rows, each different one once for a task."""
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n_rows // TASK_ROWS) + 1)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1) for b in batches if len(b)]
-        if not parts:
-            return
-        rows = np.concatenate(parts)
-        del parts
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        apart = (rows[:, 1] != rows[:, 3]) | (rows[:, 2] != rows[:, 4])
-        new = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
-        start = np.flatnonzero(new)
-        hub = rows[np.repeat(start, np.diff(np.append(start, len(rows)))), 1:3]
-        other = (rows[:, 1] != hub[:, 0]) | (rows[:, 2] != hub[:, 1])
-        pairs = np.concatenate([np.concatenate([rows[:, 1:3], hub], 1)[other], rows[apart, 1:5]])
-        pairs = np.unique(pairs, axis=0)
-        for at in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays(_longs(*pairs[at : at + 50_000].T), ["u_a", "u_b", "v_a", "v_b"])
+ROW = 12
+SIGN_BITS, NAME_BITS = 39, 48
+DEALT = "part int, kind int, packed binary"
+ROWS, COUNTS, LINKS = 0, 1, 2
 
-    return rows.repartition(n, "sig").mapInArrow(gather, "u_a long, u_b long, v_a long, v_b long").distinct()
 
+def _packed(sign: np.ndarray, band: np.ndarray, which: np.ndarray, names: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """A batch's signatures, dealt to `parts` by the signature, 12 bytes each; what several sets of the batch share is a single row.
 
-SIG = "sig long, node_a long, node_b long, hub_a long, hub_b long"
+    A row is name and band (7 bytes), and 39 bits of the signature with a mark of those that the batch itself has more
+    than once (5 bytes). Fewer bits can make strangers candidates, and are checked later; they can't part what belongs
+    together. The further holders of a signature are counted here, and linked with the first.
+    """
+    order = np.argsort(sign, kind="stable")
+    sign, band, which = sign[order], band[order], which[order]
+    new = np.concatenate(([True], sign[1:] != sign[:-1]))
+    runs = np.diff(np.append(np.flatnonzero(new), len(sign)))
+    hub = np.repeat(which[new], runs)
+    key = names[which] << U(8) | band
+    part = (sign >> U(40)) % U(parts)
+    mine = sign[new] % U(1 << SIGN_BITS) << U(1) | (runs > 1).astype(U)
+    rows = np.empty((len(mine), ROW), np.uint8)
+    rows[:, :7] = key[new].view(np.uint8).reshape(-1, 8)[:, :7]
+    rows[:, 7:] = mine.view(np.uint8).reshape(-1, 8)[:, :5]
+    to = part[new].astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    rows, to = rows[order], to[order]
+    starts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+    ends = np.append(starts[1:], len(to))
+    out = [(int(to[a]), ROWS, rows[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+    if not new.all():
+        keys, n = np.unique(key[~new], return_counts=True)
+        links = np.unique(np.stack([names[which[~new]], names[hub[~new]]], 1), axis=0)
+        home = int(sign[0] % U(parts))
+        out += [(home, COUNTS, np.stack([keys, n.astype(U)], 1).tobytes()), (home, LINKS, links.tobytes())]
+    for a in range(0, len(out), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 64], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "kind", "packed"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one partition of dealt rows: (u, null, n), how many of its signatures a name and band shares; and (u, v, 0), links of names."""
+    held: dict[int, list[bytes]] = {ROWS: [], COUNTS: [], LINKS: []}
+    for batch in batches:
+        for kind, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            held[kind].append(packed.as_py())
+    counts, links = (np.frombuffer(b"".join(held[k]), U).reshape(-1, 2) for k in (COUNTS, LINKS))
+    raw = np.frombuffer(b"".join(held[ROWS]), np.uint8).reshape(-1, ROW)
+    held.clear()
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :7] = raw[:, :7]
+    key = wide.view(U)[:, 0].copy()
+    wide[:] = 0
+    wide[:, :5] = raw[:, 7:]
+    sign = wide.view(U)[:, 0].copy()
+    del raw, wide
+    order = np.lexsort((key, sign >> U(1)))
+    key, sign = key[order], sign[order]
+    mark, sign = (sign & U(1)).astype(bool), sign >> U(1)
+    if len(key):
+        new = np.concatenate(([True], sign[1:] != sign[:-1]))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(sign)))
+        differs = np.concatenate(([True], key[1:] != key[:-1])) | new
+        names = np.add.reduceat(differs.astype(np.int64), start)
+        marked = np.logical_or.reduceat(mark, start)
+        shared = np.repeat((names > 1) | marked, size) & differs
+        keys, n = np.unique(key[shared], return_counts=True)
+        counts = np.concatenate([counts, np.stack([keys, n.astype(U)], 1)])
+        hub = key[np.repeat(start, size)]
+        apart = differs & (key >> U(8) != hub >> U(8))
+        links = np.unique(np.concatenate([links, np.stack([key[apart] >> U(8), hub[apart] >> U(8)], 1)]), axis=0)
+    none = lambda n: pa.nulls(n, pa.int64())
+    for at in range(0, len(counts), 100_000):
+        part = counts[at : at + 100_000].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), none(len(part)), pa.array(part[:, 1].copy())], ["u", "v", "n"])
+    for at in range(0, len(links), 100_000):
+        part = links[at : at + 100_000].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.array(np.zeros(len(part), np.int64))], ["u", "v", "n"])
+
+
+def _part_count(spark, n_tokens: int, bands: Bands) -> int:
+    """Partitions of the dealt signatures, of about TASK_ROWS each."""
+    share = 3.5 * (bands.of - bands.near) / bands.of  # a set has about three signatures for each token that may differ
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_tokens * share) // TASK_ROWS + 1)
+
+
+def _candidates(dealt: DataFrame, bands: Bands, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(name) of the sets that share enough signatures to link with any other, and (node, component) of names by shared signatures."""
+    met = written(dealt.repartition(parts, "part").mapInArrow(_met, "u long, v long, n long"), "ngram-met")
+    counts = met.where("v is null").groupBy("u").agg(F.sum("n").alias("n"))
+    need = F.get(F.array(*(F.lit(x) for x in bands.needs())), F.expr("cast(u & 255 as int)"))
+    enough = counts.where(F.col("n") >= need).select(F.shiftright("u", 8).alias("name")).distinct()
+    return enough, components(met.where("v is not null").select("u", "v"))
+
+
+def short_name(name_b: Column) -> Column:
+    return name_b.bitwiseAND(F.lit((1 << NAME_BITS) - 1))
 
 
 def set_rows(docs: DataFrame, doc: Column, text: Column, n: int) -> DataFrame:
@@ -222,26 +288,36 @@ def set_rows(docs: DataFrame, doc: Column, text: Column, n: int) -> DataFrame:
     return docs.select(doc.alias("id"), text.cast("binary").alias("text")).mapInArrow(run, "id long, n long, name_a long, name_b long")
 
 
-def _doc_signatures(docs: DataFrame, text: Column, n: int, bands: Bands) -> DataFrame:
+def _doc_signatures(docs: DataFrame, text: Column, n: int, bands: Bands, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[int, int] = {}
+        signs: list[np.ndarray] = []
+        of_band: list[np.ndarray] = []
+        held = 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            if signs:
+                which = np.repeat(np.arange(len(signs)), [len(x) for x in signs])
+                yield from _packed(np.concatenate(signs), np.concatenate(of_band), which, np.array(list(names), U), parts)
+            names.clear()
+            signs.clear()
+            of_band.clear()
+
         for batch in batches:
-            names: dict[tuple[int, int], int] = {}
-            signs = []
             for raw in batch.column(0):
                 own = tokens(raw.as_py(), n)
-                if len(own) and (name := name_of(own)) not in names:
+                if len(own) and (name := name_of(own)[1] % (1 << NAME_BITS)) not in names:
                     names[name] = len(names)
-                    signs.append(bands.signatures(own, 0))
-            if not signs:
-                continue
-            nodes = np.array(list(names), np.int64)
-            which = np.repeat(np.arange(len(signs)), [len(x) for x in signs])
-            for sig, node, hub in _signature_rows(np.concatenate(signs), nodes, which):
-                for at in range(0, len(sig), 200_000):
-                    to = slice(at, at + 200_000)
-                    yield pa.RecordBatch.from_arrays(_longs(sig[to], node[to, 0], node[to, 1], hub[to, 0], hub[to, 1]), SIG.replace(" long", "").split(", "))
+                    sign, band = bands.signatures(own, 0)
+                    signs.append(sign)
+                    of_band.append(band)
+                    held += len(sign)
+                    if held >= TASK_ROWS // 2:
+                        yield from dealt()
+                        held = 0
+        yield from dealt()
 
-    return docs.select(text.cast("binary").alias("text")).mapInArrow(run, SIG)
+    return docs.select(text.cast("binary").alias("text")).mapInArrow(run, DEALT)
 
 
 def _candidate_sets(docs: DataFrame, doc: Column, text: Column, n: int, wanted: DataFrame) -> DataFrame:
@@ -325,22 +401,23 @@ def _split(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _refined(large: DataFrame, bands: Bands, seed: int, n_tokens: int) -> DataFrame:
-    """The same sets with finer candidate components: a link has to share a signature of this seed, too."""
+    """The sets with finer candidate components: a link has to share enough signatures of this seed within its component, too."""
+    parts = _part_count(large.sparkSession, n_tokens, bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            signs = [mix(bands.signatures(np.frombuffer(t.as_py(), U), seed) + U(c % (1 << 64))) for c, t in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            own = np.array(batch.column(0).to_pylist(), np.int64)
-            nodes = np.stack([own, np.zeros_like(own)], 1)
-            which = np.repeat(np.arange(len(signs)), [len(x) for x in signs])
-            for sig, node, hub in _signature_rows(np.concatenate(signs), nodes, which):
-                yield pa.RecordBatch.from_arrays(_longs(sig, node[:, 0], node[:, 1], hub[:, 0], hub[:, 1]), SIG.replace(" long", "").split(", "))
+            for at in range(0, len(batch), 1024):
+                some = batch.slice(at, 1024)
+                both = [bands.signatures(np.frombuffer(t.as_py(), U), seed) for t in some.column(2)]
+                salts = np.array(some.column(1).to_pylist(), np.int64).view(U)
+                which = np.repeat(np.arange(len(both)), [len(x) for x, _ in both])
+                sign = mix(np.concatenate([x for x, _ in both]) + mix(salts)[which])
+                yield from _packed(sign, np.concatenate([x for _, x in both]), which, np.array(some.column(0).to_pylist(), np.int64).view(U), parts)
 
-    edges = _edges(large.select("node", "comp", "tokens").mapInArrow(run, SIG), 0.5 * n_tokens)
-    found = components(edges.select(F.col("u_a").alias("u"), F.col("v_a").alias("v")))
-    return written(large.drop("comp").join(found.select("node", F.col("component").alias("comp")), "node"), "ngram-sets")
+    named = large.withColumn("name", short_name(F.xxhash64("node")))
+    enough, found = _candidates(named.select("name", "comp", "tokens").mapInArrow(run, DEALT), bands, parts)
+    kept = named.join(enough, "name").join(found.select(F.col("node").alias("name"), F.col("component").alias("finer")), "name")
+    return written(kept.select("node", F.xxhash64("comp", "finer").alias("comp"), "n", "tokens"), "ngram-sets")
 
 
 def _leader_links(large: DataFrame, sizes: DataFrame, near: int, of: int) -> DataFrame:
@@ -410,12 +487,10 @@ def link_components(docs: DataFrame, n: int = 5, near: int = 80, of: int = 100,
     n_tokens = int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0])
     classes = written(sets.where("n > 0").groupBy("name_a", "name_b").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")), "ngram-classes")
 
-    edges = written(_edges(_doc_signatures(docs, text, n, bands), 0.5 * n_tokens), "ngram-edges")
-    named = lambda side: classes.select(F.col("name_a").alias(f"{side}_a"), F.col("name_b").alias(f"{side}_b"), F.col("node").alias(side))
-    pairs = edges.join(named("u"), ["u_a", "u_b"]).join(named("v"), ["v_a", "v_b"]).select("u", "v")
-    found = components(pairs)
-    wanted = classes.join(found.select("node", F.col("component").alias("comp")), "node").select("node", "name_a", "name_b", "comp")
-    candidates = written(_candidate_sets(docs, doc, text, n, written(wanted, "ngram-wanted")), "ngram-sets")
+    parts = _part_count(docs.sparkSession, n_tokens, bands)
+    enough, found = _candidates(_doc_signatures(docs, text, n, bands, parts), bands, parts)
+    named = classes.withColumn("name", short_name(F.col("name_b"))).join(enough, "name").join(found.select(F.col("node").alias("name"), F.col("component").alias("comp")), "name")
+    candidates = written(_candidate_sets(docs, doc, text, n, written(named.select("node", "name_a", "name_b", "comp"), "ngram-wanted")), "ngram-sets")
 
     small, large, sizes = _split(candidates)
     links = written(_resolve_units(small, near, of, ["comp"]), "ngram-links")
