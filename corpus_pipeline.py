@@ -22,11 +22,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A source's boilerplate lines are cut; documents of which nothing is left go. n_chars follows the text."""
-    cleaned = line_dedup.clean(docs, F.col("source"))
-    left = (F.col("line_dedup.n_cut") == 0) | (F.trim(F.col("text"), F.lit(" \t\r\n")) != "")
-    n_chars = F.when(F.col("line_dedup.n_cut") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
-    return cleaned.where(left).withColumn("n_chars", n_chars).drop("line_dedup")
+    """A source's boilerplate lines are cut, and n_chars follows the text. A document of nothing but such lines is a copy rather than boilerplate: it stays whole, for the next stage to judge."""
+    cleaned = line_dedup.clean(docs.withColumn("_whole", F.col("text")), F.col("source"))
+    whole = (F.col("line_dedup.n_cut") == 0) | (F.trim(F.col("text"), F.lit(" \t\r\n")) == "")
+    text = F.when(whole, F.col("_whole")).otherwise(F.col("text"))
+    n_chars = F.when(whole, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
+    return cleaned.select(*(text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def same(spark, name):
     con = duckdb.connect()
     for path in Path(SF).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
-    want = con.execute(entry.oracle_sql()[name]).fetch_arrow_table()
+    want = con.execute(entry.oracle_sql()[name]).to_arrow_table()
     got = entry.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(want.column_names)
     order = sorted(got.columns)
