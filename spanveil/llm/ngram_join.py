@@ -213,15 +213,39 @@ def _packed(sign: np.ndarray, band: np.ndarray, which: np.ndarray, names: np.nda
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 64], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "kind", "packed"])
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition of dealt rows: (u, null, n), how many of its signatures a name and band shares; and (u, v, 0), links of names."""
+def forest(links: np.ndarray) -> np.ndarray:
+    """(name, least name it is connected with by these links), a row for each name but the least ones."""
+    names, ends = np.unique(links, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    root = np.arange(len(names))
+    while len(ends):
+        low = root.copy()
+        both = root[ends]
+        np.minimum.at(low, both[:, 0], both[:, 1])
+        np.minimum.at(low, both[:, 1], both[:, 0])
+        low = low[root]
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        if np.array_equal(low, root):
+            break
+        root = low
+    apart = np.flatnonzero(root != np.arange(len(names)))
+    return np.stack([names[apart], names[root[apart]]], 1)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The signature rows, counts and links of one partition."""
     held: dict[int, list[bytes]] = {ROWS: [], COUNTS: [], LINKS: []}
     for batch in batches:
         for kind, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             held[kind].append(packed.as_py())
-    counts, links = (np.frombuffer(b"".join(held[k]), U).reshape(-1, 2) for k in (COUNTS, LINKS))
-    raw = np.frombuffer(b"".join(held[ROWS]), np.uint8).reshape(-1, ROW)
-    held.clear()
+    return b"".join(held[ROWS]), *(np.frombuffer(b"".join(held[k]), U).reshape(-1, 2) for k in (COUNTS, LINKS))
+
+
+def _met(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Of one partition of signatures: how many of them each name and band shares, dealt by the name; and what they connect."""
+    raw, counts, links = _unpacked(batches)
+    raw = np.frombuffer(raw, np.uint8).reshape(-1, ROW)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :7] = raw[:, :7]
     key = wide.view(U)[:, 0].copy()
@@ -244,14 +268,31 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.concatenate([counts, np.stack([keys, n.astype(U)], 1)])
         hub = key[np.repeat(start, size)]
         apart = differs & (key >> U(8) != hub >> U(8))
-        links = np.unique(np.concatenate([links, np.stack([key[apart] >> U(8), hub[apart] >> U(8)], 1)]), axis=0)
-    none = lambda n: pa.nulls(n, pa.int64())
-    for at in range(0, len(counts), 100_000):
-        part = counts[at : at + 100_000].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), none(len(part)), pa.array(part[:, 1].copy())], ["u", "v", "n"])
-    for at in range(0, len(links), 100_000):
-        part = links[at : at + 100_000].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.array(np.zeros(len(part), np.int64))], ["u", "v", "n"])
+        links = np.concatenate([links, np.stack([key[apart] >> U(8), hub[apart] >> U(8)], 1)])
+    links = forest(links)
+    out = [(0, LINKS, links[a : a + 50_000].tobytes()) for a in range(0, len(links), 50_000)]
+    to = (mix(counts[:, 0] >> U(8)) % U(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    counts, to = counts[order], to[order]
+    ends = np.searchsorted(to, np.arange(parts + 1))
+    out += [(i, COUNTS, counts[ends[i] : ends[i + 1]].tobytes()) for i in range(parts) if ends[i] < ends[i + 1]]
+    # links are dealt evenly; where they go doesn't matter
+    out = [(int.from_bytes(p[:4], "little") % parts if k == LINKS else i, k, p) for i, k, p in out]
+    for a in range(0, len(out), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 64], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "kind", "packed"])
+
+
+def _enough(batches: Iterator[pa.RecordBatch], needs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(name, null) of names that share enough signatures in a band, and links (u, v)."""
+    _, counts, links = _unpacked(batches)
+    key, at = np.unique(counts[:, 0], return_inverse=True)
+    total = np.bincount(at, counts[:, 1].astype(np.int64), len(key)) if len(key) else np.zeros(0)
+    names = np.unique(key[total >= needs[(key & U(255)).astype(np.int64)]] >> U(8)).view(np.int64)
+    for a in range(0, len(names), 100_000):
+        part = names[a : a + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.int64())], ["u", "v"])
+    for a in range(0, len(links), 100_000):
+        yield pa.RecordBatch.from_arrays(_longs(*links[a : a + 100_000].T), ["u", "v"])
 
 
 def _part_count(spark, n_tokens: int, bands: Bands) -> int:
@@ -262,11 +303,10 @@ def _part_count(spark, n_tokens: int, bands: Bands) -> int:
 
 def _candidates(dealt: DataFrame, bands: Bands, parts: int) -> tuple[DataFrame, DataFrame]:
     """(name) of the sets that share enough signatures to link with any other, and (node, component) of names by shared signatures."""
-    met = written(dealt.repartition(parts, "part").mapInArrow(_met, "u long, v long, n long"), "ngram-met")
-    counts = met.where("v is null").groupBy("u").agg(F.sum("n").alias("n"))
-    need = F.get(F.array(*(F.lit(x) for x in bands.needs())), F.expr("cast(u & 255 as int)"))
-    enough = counts.where(F.col("n") >= need).select(F.shiftright("u", 8).alias("name")).distinct()
-    return enough, components(met.where("v is not null").select("u", "v"))
+    needs = np.array(bands.needs())
+    met = dealt.repartition(parts, "part").mapInArrow(lambda batches: _met(batches, parts), DEALT)
+    found = written(met.repartition(parts, "part").mapInArrow(lambda batches: _enough(batches, needs), "u long, v long"), "ngram-met")
+    return found.where("v is null").select(F.col("u").alias("name")).distinct(), components(found.where("v is not null"))
 
 
 def short_name(name_b: Column) -> Column:
