@@ -21,7 +21,7 @@ NO_LANGUAGE = "und"
 LONGEST = 4
 LENGTH = 400
 #: n-grams that a worker gathers before it sums them up.
-GATHERED = 4_000_000
+GATHERED = 1_000_000
 BLANK = 0x20
 
 _SYMBOLS: list[np.ndarray] = []
