@@ -25,10 +25,26 @@ def line_keys(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
-def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float, least_pages: int) -> DataFrame:
-    """host, line (hash), pages, of: the lines above the ratio. Counts are combined before each shuffle, so a hot line or host costs a row per task."""
+def page_key(words: Column) -> Column:
+    """The least hash of a page's three-word shingles: pages have the same one about as often as their shingles are the same."""
+    after = lambda k: F.slice(words, k, F.size(words))
+    return F.array_min(F.transform(F.arrays_zip(words.alias("a"), after(2).alias("b"), after(3).alias("c")), lambda x: F.xxhash64(x["a"], x["b"], x["c"])))
+
+
+def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float, least_pages: int, copies_once: bool = False) -> DataFrame:
+    """host, line (hash), pages, of: the lines above the ratio. Counts are combined before each shuffle, so a hot line or host costs a row per task.
+
+    With `copies_once`, pages of one page_key count once for a line. A near copy that five-word shingles liken by 0.8 to
+    a text has a key of its own with a probability of a fifteenth if single words differ, of a ninth at most: as many of
+    its shingles are new. So a group's lines are boilerplate only where it holds nine times the ratio of the host's pages.
+    """
     pages = docs.select(host.alias("host"), text.alias("text"))
-    lines = pages.select("host", F.explode(line_keys(F.col("text"))).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
+    if copies_once:
+        words = F.filter(F.split("text", "[ \\t\\r\\n]+", -1), lambda x: x != "")
+        keyed = pages.withColumn("words", words).select("host", "text", page_key(F.col("words")).alias("page"))
+        lines = keyed.select("host", "page", F.explode(line_keys(F.col("text"))).alias("line")).groupBy("host", "line").agg(F.count_distinct("page").alias("pages"))
+    else:
+        lines = pages.select("host", F.explode(line_keys(F.col("text"))).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
     totals = pages.groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("of"))
     common = lines.where(F.col("pages") >= least_pages)
     return common.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("pages") > F.col("of") * F.lit(ratio)).select("host", "line", "pages", "of")
@@ -41,15 +57,17 @@ def clean(
     ratio: float = RATIO,
     least_pages: int = LEAST_PAGES,
     broadcast_lines: int = BROADCAST_LINES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """`docs` with boilerplate lines cut from the text, and n_lines, n_cut as a last column `line_dedup` (struct).
 
     A null text stays null and is a page without lines; null hosts are one host; a line that a page repeats counts
-    once for it and goes everywhere on it; repeated rows are pages each; an empty table gives no rows. The input's
+    once for it and goes everywhere on it; repeated rows are pages each, unless `copies_once` counts a line once for the
+    copies and near copies of a page (and cuts what is boilerplate nevertheless from each of them); an empty table gives no rows. The input's
     columns come back as they are but for the text, under any names but `line_dedup`.
     """
     given = docs.select(F.struct("*").alias("row"), host.alias("host"), F.col(f"`{text_col}`").alias("text"))
-    found = written(boilerplate(given, F.col("host"), F.col("text"), ratio, least_pages), "line-dedup")
+    found = written(boilerplate(given, F.col("host"), F.col("text"), ratio, least_pages, copies_once), "line-dedup")
     bad = found.groupBy(F.col("host").alias("h")).agg(F.collect_list("line").alias("bad"))
     bad = F.broadcast(bad) if found.count() <= broadcast_lines else bad.hint("merge")  # the count bounds what is broadcast
     joined = given.join(bad, F.col("host").eqNullSafe(F.col("h")), "left")

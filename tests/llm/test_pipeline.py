@@ -39,3 +39,22 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_over_a_third_of_a_source(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    line = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(25))
+    base = [line() for _ in range(12)]
+    rows = [(i, "\n".join([*(line() for _ in range(6)), *["footer of the site"] * (i % 2)]), "en", "s0", 0) for i in range(600)]
+    for i in range(600, 900):
+        own = [x.split() for x in base]
+        own[rng.randrange(12)][rng.randrange(25)] = f"edit{i}"
+        rows.append((i, "\n".join([*map(" ".join, own), "footer of the site"]), "en", "s0", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = written(corpus_pipeline.cut_lines(spark, docs, ""), "stage")
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert all(texts[r[0]] == "\n".join(x for x in r[1].split("\n") if not x.startswith("footer")) for r in rows)
+    left = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, cut, "").select("doc_id").collect())
+    assert left == [*range(601)]
