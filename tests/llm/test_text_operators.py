@@ -132,6 +132,14 @@ def test_lines(spark, bound):
     assert got.count() == 13 and ld.clean(docs.limit(0), F.col("source")).count() == 0
 
 
+def test_line_below_a_tenth_of_a_source(spark):
+    rows = [(i, f"own {i}\n" + ("junk line" if i % 14 == 0 else "rare" if i % 25 == 1 else ""), "a") for i in range(200)]
+    rows += [(200 + i, f"own {i}\n" + ("seldom" if i < 2 else ""), "small") for i in range(4)]
+    rows = {r.doc_id: r for r in ld.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source")).collect()}
+    assert rows[14].text == "own 14" and rows[196].line_dedup.n_cut == 1
+    assert rows[26].text == "own 26\nrare" and rows[200].text == "own 0\nseldom"
+
+
 # language and quality ----------------------------------------------------------------------------------------------
 
 def brute_grams(text):
