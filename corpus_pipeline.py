@@ -22,9 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A source's boilerplate lines are cut, and n_chars follows the text. Copies and near copies of a page count once for a line, so a large group of them is left to the next stage. A document of nothing but such lines is a copy rather than boilerplate: it stays whole, for the next stage to judge."""
+    """A source's boilerplate lines are cut, and n_chars follows the text. Copies and near copies of a page count once for a line, so a large group of them is left to the next stage. A document whose whole text is one such line stays whole, for the next stage to judge; one of several such lines is left blank."""
     cleaned = line_dedup.clean(docs.withColumn("_whole", F.col("text")), F.col("source"), copies_once=True)
-    whole = (F.col("line_dedup.n_cut") == 0) | (F.trim(F.col("text"), F.lit(" \t\r\n")) == "")
+    one_line = (F.trim(F.col("text"), F.lit(" \t\r\n")) == "") & (F.size(line_dedup.line_keys(F.col("_whole"))) == 1)
+    whole = (F.col("line_dedup.n_cut") == 0) | one_line
     text = F.when(whole, F.col("_whole")).otherwise(F.col("text"))
     n_chars = F.when(whole, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
     return cleaned.select(*(text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

@@ -58,3 +58,13 @@ def test_near_copies_over_a_third_of_a_source(spark, tmp_path):
     assert all(texts[r[0]] == "\n".join(x for x in r[1].split("\n") if not x.startswith("footer")) for r in rows)
     left = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, cut, "").select("doc_id").collect())
     assert left == [*range(601)]
+
+
+def test_pages_of_boilerplate_lines_only(spark):
+    rows = [(i, f"own text of page {i}\nhome\nnews\nlicence", "en", "s0", 0) for i in range(40)]
+    rows += [(40, "home\nnews", "en", "s0", 9), (41, "news\n\nlicence", "en", "s0", 13), (42, "licence", "en", "s0", 7)]
+    rows += [(50 + i, "one line\nanother line", "en", "s1", 21) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r.doc_id: r for r in corpus_pipeline.cut_lines(spark, docs, "").collect()}
+    assert cut[0].text == "own text of page 0" and cut[40].text == "" and cut[40].n_chars == 0 and cut[41].text.strip() == ""
+    assert cut[42].text == "licence" and all(cut[50 + i].text == "one line\nanother line" for i in range(5))
