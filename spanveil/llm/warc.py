@@ -12,6 +12,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -195,6 +196,14 @@ def data_start(read, member: Member) -> int:
     return member.start + 30 + sum(struct.unpack("<2H", head[26:30]))
 
 
+def about_of(line: str) -> dict | None:
+    """The third field of an index line. Header lines begin with '!', as a url may, but have no date as their second field."""
+    fields = line.split(" ", 2)
+    if len(fields) < 3 or line.startswith("!") and not re.fullmatch("[0-9]{14}", fields[1]):
+        return None
+    return json.loads(fields[2])
+
+
 def read_package(read, size: int) -> Iterator[Record]:
     """The records that the package's indexes name, each by its range."""
     found = members(read, size)
@@ -202,9 +211,8 @@ def read_package(read, size: int) -> Iterator[Record]:
     for name, member in sorted(found.items()):
         if not (name.startswith("indexes/") and name.endswith((".cdx", ".cdxj"))):
             continue
-        for line in read(data_start(read, member), member.size).decode().splitlines():
-            about = json.loads(line.split(" ", 2)[2]) if line.count(" ") >= 2 and not line.startswith("!") else None
-            if about:
+        for line in read(data_start(read, member), member.size).decode().split("\n"):
+            if about := about_of(line):
                 path = f"archive/{about['filename']}"
                 if path not in starts:
                     starts[path] = data_start(read, found[path])

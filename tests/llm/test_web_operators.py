@@ -81,3 +81,10 @@ def test_zip64_directory_and_range_reads():
         assert [len(r.payload) for r in warc.read_package(read, len(whole))] == [0, 1, 2]
     with pytest.raises(ValueError):
         list(warc.read_package(warc.range_reader(io.BytesIO(b"no")), 2))
+
+
+def test_urls_that_begin_like_a_header_line(spark):
+    rows = [(1, "!a/1", "x"), (2, "!meta 1", "y"), (3, "a\u2028!b", "z"), (4, "http://a/4", "x")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.url) for r in got) == [(1, "!a/1"), (2, "!meta%201"), (3, "a\u2028!b"), (4, "http://a/4")]
+    assert warc.about_of("!meta 1.0 {}") is None and warc.about_of('!OpenWayback-CDXJ 1.0 {"a": 1}') is None and warc.about_of("") is None
