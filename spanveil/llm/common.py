@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +15,22 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of our own only where it is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir, as a whole URI of the file system that Hadoop finds it in.
+
+    Where it is unset, a temporary one of our own if all runs on this machine, as in tests; on a cluster an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spanveil-shared-")
         sc.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(named)
+    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString().rstrip("/")
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
@@ -47,10 +57,47 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of a batch that goes to a Python worker (a single row may be longer). Spark's own bound is 256 MB.
+BATCH_BYTES = 8 << 20
+
+
+def _release() -> None:
+    """Give freed memory back to the system: Spark keeps its Python workers, and with them what earlier stages took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes; a worker returns its memory when a task ends."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = df.sparkSession.conf.get(name, None)
+    if held is None or not held.isdigit() or int(held) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """`wanted`, with underscores behind it until no column has that name (Spark doesn't tell upper from lower case)."""
+    held = {c.lower() for c in taken}
+    while wanted.lower() in held:
+        wanted += "_"
+    return wanted
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z only; other letters stay as they are."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -13,8 +13,8 @@ Documents are sets of word n-grams (64-bit hashes). Equal sets are one node. The
    groups whose bound reaches the threshold are opened, and only sets that aren't connected with the query yet are
    compared in full.
 3. Candidate components that are too large for a task are first cut by further signatures. What stays large are real
-   groups of near copies: all members are compared with a few leaders, and those that the leaders don't connect are
-   queries against all members, block by block, by way of the matrix again.
+   groups of near copies: they are dealt into blocks, each with a few leaders of the whole component, and those that
+   this doesn't connect with its main part are queries against all members, block by block, by way of the matrix again.
 """
 
 from __future__ import annotations
@@ -27,19 +27,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .components import components
+from .common import map_batches, written
+from .components import components, forest
 
 U = np.uint64
+#: A signature row: name and band in 8 bytes, the signature and a mark in 5.
+ROW = 13
+SIGN_BITS, NAME_BITS, BAND_BITS = 39, 48, 16
+BAND = U((1 << BAND_BITS) - 1)
+#: Tokens that a text can have at most: a binary value has under 2 GB.
+MOST_TOKENS = 1 << 31
 #: Sets and tokens in one unit of work; a larger candidate component is cut.
 UNIT_SETS, UNIT_TOKENS = 512, 1 << 20
 GROUP = 32
 #: Signature rows that a task takes; bounds the partition count of their shuffle from below.
 TASK_ROWS = 1 << 20
-#: Bytes that are broadcast at most: candidate ids, leaders.
+#: Bytes of candidates' keys that are broadcast at most; beyond it the texts are dealt to their keys.
 BROADCAST_BYTES = 64 << 20
+#: Tokens that a task of the last steps takes.
+TASK_TOKENS = 1 << 22
 REFINEMENTS, LEADERS = 2, 4
-NO_ID = (1 << 63) - 1
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < KEPT_WORDS:
             self[word] = value
         return value
 
@@ -80,14 +89,16 @@ def name_of(own: np.ndarray) -> tuple[int, int]:
 
 
 class Bands:
-    """Size bands and part counts for links where of * |A & B| >= near * |A | B|."""
+    """Size bands and part counts for links where of * |A & B| >= near * |A | B|, near below of."""
 
     def __init__(self, near: int, of: int):
         self.near, self.of = near, of
         starts = [1]
-        while starts[-1] < 1 << 40:
+        while starts[-1] < MOST_TOKENS and len(starts) < 1 << BAND_BITS:
             starts.append(max(starts[-1] + 1, starts[-1] * of // near + 1))
-        self.starts = np.array(starts)
+        if starts[-1] < MOST_TOKENS:
+            raise ValueError(f"{near} / {of} is too close to 1: more than {1 << BAND_BITS} size bands; equality (near = of) is allowed")
+        self.starts = np.array([*starts, starts[-1] * of // near + 1, (starts[-1] * of // near + 1) * of // near + 1])
 
     def parts(self, band: int) -> tuple[int, int, int]:
         """(parts, skipped, need): of so many parts, a set's `skipped` smallest ones don't count, and linked sets of this band, or of this and the next one, are equal in `need` of the others at least."""
@@ -174,16 +185,14 @@ def _longs(*cols) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == U else c) for c in cols]
 
 
-ROW = 12
-SIGN_BITS, NAME_BITS = 39, 48
 DEALT = "part int, kind int, packed binary"
 ROWS, COUNTS, LINKS = 0, 1, 2
 
 
 def _packed(sign: np.ndarray, band: np.ndarray, which: np.ndarray, names: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """A batch's signatures, dealt to `parts` by the signature, 12 bytes each; what several sets of the batch share is a single row.
+    """A batch's signatures, dealt to `parts` by the signature, 13 bytes each; what several sets of the batch share is a single row.
 
-    A row is name and band (7 bytes), and 39 bits of the signature with a mark of those that the batch itself has more
+    A row is name and band (8 bytes), and 39 bits of the signature with a mark of those that the batch itself has more
     than once (5 bytes). Fewer bits can make strangers candidates, and are checked later; they can't part what belongs
     together. The further holders of a signature are counted here, and linked with the first.
     """
@@ -192,12 +201,12 @@ def _packed(sign: np.ndarray, band: np.ndarray, which: np.ndarray, names: np.nda
     new = np.concatenate(([True], sign[1:] != sign[:-1]))
     runs = np.diff(np.append(np.flatnonzero(new), len(sign)))
     hub = np.repeat(which[new], runs)
-    key = names[which] << U(8) | band
+    key = names[which] << U(BAND_BITS) | band
     part = (sign >> U(40)) % U(parts)
     mine = sign[new] % U(1 << SIGN_BITS) << U(1) | (runs > 1).astype(U)
     rows = np.empty((len(mine), ROW), np.uint8)
-    rows[:, :7] = key[new].view(np.uint8).reshape(-1, 8)[:, :7]
-    rows[:, 7:] = mine.view(np.uint8).reshape(-1, 8)[:, :5]
+    rows[:, :8] = key[new].view(np.uint8).reshape(-1, 8)
+    rows[:, 8:] = mine.view(np.uint8).reshape(-1, 8)[:, :5]
     to = part[new].astype(np.int64)
     order = np.argsort(to, kind="stable")
     rows, to = rows[order], to[order]
@@ -213,26 +222,6 @@ def _packed(sign: np.ndarray, band: np.ndarray, which: np.ndarray, names: np.nda
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 64], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "kind", "packed"])
 
 
-def forest(links: np.ndarray) -> np.ndarray:
-    """(name, least name it is connected with by these links), a row for each name but the least ones."""
-    names, ends = np.unique(links, return_inverse=True)
-    ends = ends.reshape(-1, 2)
-    root = np.arange(len(names))
-    while len(ends):
-        low = root.copy()
-        both = root[ends]
-        np.minimum.at(low, both[:, 0], both[:, 1])
-        np.minimum.at(low, both[:, 1], both[:, 0])
-        low = low[root]
-        while not np.array_equal(low, low[low]):
-            low = low[low]
-        if np.array_equal(low, root):
-            break
-        root = low
-    apart = np.flatnonzero(root != np.arange(len(names)))
-    return np.stack([names[apart], names[root[apart]]], 1)
-
-
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The signature rows, counts and links of one partition."""
     held: dict[int, list[bytes]] = {ROWS: [], COUNTS: [], LINKS: []}
@@ -246,12 +235,10 @@ def _met(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBat
     """Of one partition of signatures: how many of them each name and band shares, dealt by the name; and what they connect."""
     raw, counts, links = _unpacked(batches)
     raw = np.frombuffer(raw, np.uint8).reshape(-1, ROW)
+    key = np.ascontiguousarray(raw[:, :8]).view(U)[:, 0]
     wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :7] = raw[:, :7]
-    key = wide.view(U)[:, 0].copy()
-    wide[:] = 0
-    wide[:, :5] = raw[:, 7:]
-    sign = wide.view(U)[:, 0].copy()
+    wide[:, :5] = raw[:, 8:]
+    sign = wide.view(U)[:, 0]
     del raw, wide
     order = np.lexsort((key, sign >> U(1)))
     key, sign = key[order], sign[order]
@@ -267,27 +254,26 @@ def _met(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBat
         keys, n = np.unique(key[shared], return_counts=True)
         counts = np.concatenate([counts, np.stack([keys, n.astype(U)], 1)])
         hub = key[np.repeat(start, size)]
-        apart = differs & (key >> U(8) != hub >> U(8))
-        links = np.concatenate([links, np.stack([key[apart] >> U(8), hub[apart] >> U(8)], 1)])
-    links = forest(links)
-    out = [(0, LINKS, links[a : a + 50_000].tobytes()) for a in range(0, len(links), 50_000)]
-    to = (mix(counts[:, 0] >> U(8)) % U(parts)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    counts, to = counts[order], to[order]
-    ends = np.searchsorted(to, np.arange(parts + 1))
-    out += [(i, COUNTS, counts[ends[i] : ends[i + 1]].tobytes()) for i in range(parts) if ends[i] < ends[i + 1]]
-    # links are dealt evenly; where they go doesn't matter
-    out = [(int.from_bytes(p[:4], "little") % parts if k == LINKS else i, k, p) for i, k, p in out]
+        apart = differs & (key >> U(BAND_BITS) != hub >> U(BAND_BITS))
+        links = np.concatenate([links, np.stack([key[apart] >> U(BAND_BITS), hub[apart] >> U(BAND_BITS)], 1)])
+    out = []
+    for kind, pairs, by in ((COUNTS, counts, counts[:, 0] >> U(BAND_BITS)), (LINKS, (found := forest(links)), found[:, 0])):
+        to = (mix(by) % U(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        pairs, to = pairs[order], to[order]
+        ends = np.searchsorted(to, np.arange(parts + 1))
+        out += [(i, kind, pairs[ends[i] : ends[i + 1]].tobytes()) for i in range(parts) if ends[i] < ends[i + 1]]
     for a in range(0, len(out), 64):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 64], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "kind", "packed"])
 
 
 def _enough(batches: Iterator[pa.RecordBatch], needs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(name, null) of names that share enough signatures in a band, and links (u, v)."""
+    """(name, null) of names that share enough signatures in a band, and links (u, v): those that have come as a forest, at most one for each name."""
     _, counts, links = _unpacked(batches)
+    links = forest(links)
     key, at = np.unique(counts[:, 0], return_inverse=True)
     total = np.bincount(at, counts[:, 1].astype(np.int64), len(key)) if len(key) else np.zeros(0)
-    names = np.unique(key[total >= needs[(key & U(255)).astype(np.int64)]] >> U(8)).view(np.int64)
+    names = np.unique(key[total >= needs[(key & BAND).astype(np.int64)]] >> U(BAND_BITS)).view(np.int64)
     for a in range(0, len(names), 100_000):
         part = names[a : a + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.int64())], ["u", "v"])
@@ -304,33 +290,34 @@ def _part_count(spark, n_tokens: int, bands: Bands) -> int:
 def _candidates(dealt: DataFrame, bands: Bands, parts: int) -> tuple[DataFrame, DataFrame]:
     """(name) of the sets that share enough signatures to link with any other, and (node, component) of names by shared signatures."""
     needs = np.array(bands.needs())
-    met = dealt.repartition(parts, "part").mapInArrow(lambda batches: _met(batches, parts), DEALT)
-    found = written(met.repartition(parts, "part").mapInArrow(lambda batches: _enough(batches, needs), "u long, v long"), "ngram-met")
+    met = map_batches(dealt.repartition(parts, "part"), lambda batches: _met(batches, parts), DEALT)
+    found = written(map_batches(met.repartition(parts, "part"), lambda batches: _enough(batches, needs), "u long, v long"), "ngram-met")
     return found.where("v is null").select(F.col("u").alias("name")).distinct(), components(found.where("v is not null"))
 
 
 def short_name(name_b: Column) -> Column:
+    """What stands for a set among signatures. Two sets of one short name can only make more candidates, and no link is found by it."""
     return name_b.bitwiseAND(F.lit((1 << NAME_BITS) - 1))
 
 
 def set_rows(docs: DataFrame, doc: Column, text: Column, n: int) -> DataFrame:
-    """id, n, and name_a, name_b (null for an empty set) of each row's set."""
+    """id, text_hash, n, and name_a, name_b (null for an empty set) of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names = [], []
-            for raw in batch.column(1):
+            for raw in batch.column(2):
                 own = tokens(raw.as_py(), n)
                 sizes.append(len(own))
                 names.append(name_of(own) if len(own) else (None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))], ["id", "n", "name_a", "name_b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))], ["id", "text_hash", "n", "name_a", "name_b"])
 
-    return docs.select(doc.alias("id"), text.cast("binary").alias("text")).mapInArrow(run, "id long, n long, name_a long, name_b long")
+    return map_batches(docs.select(doc.alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), run, "id long, text_hash long, n long, name_a long, name_b long")
 
 
 def _doc_signatures(docs: DataFrame, text: Column, n: int, bands: Bands, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[int, int] = {}
+        names: dict[tuple[int, int], int] = {}
         signs: list[np.ndarray] = []
         of_band: list[np.ndarray] = []
         held = 0
@@ -338,7 +325,7 @@ def _doc_signatures(docs: DataFrame, text: Column, n: int, bands: Bands, parts:
         def dealt() -> Iterator[pa.RecordBatch]:
             if signs:
                 which = np.repeat(np.arange(len(signs)), [len(x) for x in signs])
-                yield from _packed(np.concatenate(signs), np.concatenate(of_band), which, np.array(list(names), U), parts)
+                yield from _packed(np.concatenate(signs), np.concatenate(of_band), which, np.fromiter((b % (1 << NAME_BITS) for _, b in names), U, len(names)), parts)
             names.clear()
             signs.clear()
             of_band.clear()
@@ -346,7 +333,7 @@ def _doc_signatures(docs: DataFrame, text: Column, n: int, bands: Bands, parts:
         for batch in batches:
             for raw in batch.column(0):
                 own = tokens(raw.as_py(), n)
-                if len(own) and (name := name_of(own)[1] % (1 << NAME_BITS)) not in names:
+                if len(own) and (name := name_of(own)) not in names:
                     names[name] = len(names)
                     sign, band = bands.signatures(own, 0)
                     signs.append(sign)
@@ -357,47 +344,36 @@ def _doc_signatures(docs: DataFrame, text: Column, n: int, bands: Bands, parts:
                         held = 0
         yield from dealt()
 
-    return docs.select(text.cast("binary").alias("text")).mapInArrow(run, DEALT)
+    return map_batches(docs.select(text.alias("text")), run, DEALT)
 
 
 def _candidate_sets(docs: DataFrame, doc: Column, text: Column, n: int, wanted: DataFrame) -> DataFrame:
-    """node, comp, n, tokens (bytes) of the candidates in `wanted` (node, name_a, name_b, comp)."""
-    count = wanted.count()
-    given = docs.select(doc.alias("id"), text.cast("binary").alias("text"))
-    if small := count * 32 <= BROADCAST_BYTES:
-        rows = wanted.select("node", "name_a", "name_b", "comp").toPandas().to_numpy(np.int64).reshape(-1, 4)
-        shared = docs.sparkSession.sparkContext.broadcast(rows[np.argsort(rows[:, 0], kind="stable")])
-    else:
-        given = given.join(wanted.select(F.col("node").alias("id"), "name_a", "name_b", "comp"), "id")
+    """node, comp, n, tokens (bytes) of the candidates in `wanted` (node, id, text_hash, name_a, name_b, comp), from a row that has such a text."""
+    given = docs.select(doc.alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    small = wanted.count() * 64 <= BROADCAST_BYTES  # a count of rows of fixed size bounds what is broadcast
+    own = wanted.select(F.col("id").alias("of"), F.col("text_hash").alias("hash"), "node", "comp", "name_a", "name_b")
+    met = given.join(F.broadcast(own) if small else own, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value if small else None
+        seen: set[int] = set()  # repeated rows of a task; those of several tasks meet in a unit
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if small:
-                if not len(known):
-                    continue
-                at = np.searchsorted(known[:, 0], ids)
-                at[at == len(known)] = 0
-                hits = np.flatnonzero(known[at, 0] == ids)
-            else:
-                hits = np.arange(len(ids))
             out: list[tuple] = []
-            for i in hits.tolist():
-                own = tokens(batch.column(1)[i].as_py(), n)
-                name, comp = (tuple(known[at[i], 1:3].tolist()), int(known[at[i], 3])) if small else ((batch.column(2)[i].as_py(), batch.column(3)[i].as_py()), batch.column(4)[i].as_py())
-                if len(own) and name_of(own) == name:
-                    out.append((int(ids[i]), comp, len(own), own.tobytes()))
+            nodes, comps, a, b = (batch.column(i).to_pylist() for i in range(1, 5))
+            for i, raw in enumerate(batch.column(0)):
+                if nodes[i] not in seen and name_of(own := tokens(raw.as_py(), n)) == (a[i], b[i]):
+                    seen.add(nodes[i])
+                    out.append((nodes[i], comps[i], len(own), own.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["node", "comp", "n", "tokens"])
 
-    return given.mapInArrow(run, "node long, comp long, n long, tokens binary")
+    return map_batches(met.select("text", "node", "comp", "name_a", "name_b"), run, "node long, comp long, n long, tokens binary")
 
 
-def _resolve_units(rows: DataFrame, near: int, of: int, keys: list[str], query_col: str | None = None) -> DataFrame:
-    """u, v: star edges of what links connect within each unit (rows that agree in `keys`), by the token-group matrix."""
+def _resolve_units(rows: DataFrame, total: int, near: int, of: int, keys: list[str], query_col: str | None = None) -> DataFrame:
+    """u, v: star edges of what links connect within each unit (rows that agree in `keys`, `total` tokens in all), by the token-group matrix."""
     cols = [*keys, "node", "tokens", *([query_col] if query_col else [])]
-    dealt = rows.select(*cols).repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys).sortWithinPartitions(*keys, "node")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_TOKENS + 1)
+    dealt = rows.select(*cols).repartition(parts, *keys).sortWithinPartitions(*keys, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, nodes, sets, asks = None, [], [], []
@@ -419,7 +395,7 @@ def _resolve_units(rows: DataFrame, near: int, of: int, keys: list[str], query_c
                 if key[i] != unit:
                     yield from done()
                     unit, nodes, sets, asks = key[i], [], [], []
-                if nodes and nodes[-1] == own[i]:
+                if nodes and nodes[-1] == own[i]:  # a node is a set: the same tokens again
                     if ask and ask[i]:
                         asks[-1] = True
                     continue
@@ -428,16 +404,17 @@ def _resolve_units(rows: DataFrame, near: int, of: int, keys: list[str], query_c
                 asks.append(bool(ask[i]) if ask else True)
         yield from done()
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return map_batches(dealt, run, "u long, v long")
 
 
-def _split(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of components that fit a unit, rows of those that don't, and the sizes of the latter."""
-    sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
-    large = sizes.where((F.col("members") > UNIT_SETS) | (F.col("total") > UNIT_TOKENS)).select("comp", "members", "total")
-    large = written(large, "ngram-large")
+def _split(sets: DataFrame) -> tuple[DataFrame, int, DataFrame, DataFrame, int]:
+    """Rows of components that fit a unit and their tokens, rows of those that don't, the sizes of the latter and their tokens."""
+    sizes = written(sets.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")), "ngram-sizes")
+    is_large = (F.col("members") > UNIT_SETS) | (F.col("total") > UNIT_TOKENS)
+    large = sizes.where(is_large)
+    small_tokens, large_tokens = (int(x) for x in sizes.agg(*(F.coalesce(F.sum(F.when(c, F.col("total"))), F.lit(0)) for c in (~is_large, is_large))).head())
     names = large.select("comp")
-    return sets.join(names, "comp", "left_anti"), sets.join(names, "comp", "left_semi"), large
+    return sets.join(names, "comp", "left_anti"), small_tokens, sets.join(names, "comp", "left_semi"), large, large_tokens
 
 
 def _refined(large: DataFrame, bands: Bands, seed: int, n_tokens: int) -> DataFrame:
@@ -455,59 +432,68 @@ def _refined(large: DataFrame, bands: Bands, seed: int, n_tokens: int) -> DataFr
                 yield from _packed(sign, np.concatenate([x for _, x in both]), which, np.array(some.column(0).to_pylist(), np.int64).view(U), parts)
 
     named = large.withColumn("name", short_name(F.xxhash64("node")))
-    enough, found = _candidates(named.select("name", "comp", "tokens").mapInArrow(run, DEALT), bands, parts)
+    enough, found = _candidates(map_batches(named.select("name", "comp", "tokens"), run, DEALT), bands, parts)
     kept = named.join(enough, "name").join(found.select(F.col("node").alias("name"), F.col("component").alias("finer")), "name")
     return written(kept.select("node", F.xxhash64("comp", "finer").alias("comp"), "n", "tokens"), "ngram-sets")
 
 
-def _leader_links(large: DataFrame, sizes: DataFrame, near: int, of: int) -> DataFrame:
-    """u, v: links of all members with a few leaders of their component, in passes of a bounded broadcast."""
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("comp").orderBy("h", "node")
-    picked = large.select("comp", "node", "n", F.xxhash64("node").alias("h")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS)
-    picked = written(picked.select("comp", "node", "n"), "ngram-leaders")
-    total = picked.agg(F.sum("n")).head()[0] or 0
-    passes = max(1, -(-8 * total // BROADCAST_BYTES))
-    out = None
-    for i in range(passes):
-        own = large.join(picked.where(F.pmod(F.xxhash64("comp"), F.lit(passes)) == i).select("comp", "node"), ["comp", "node"], "left_semi")
-        leaders: dict[int, list] = {}
-        for r in own.select("comp", "node", "tokens").collect():  # at most about BROADCAST_BYTES, see passes
-            leaders.setdefault(r.comp, []).append((r.node, np.frombuffer(bytes(r.tokens), U)))
-        shared = large.sparkSession.sparkContext.broadcast(leaders)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                u, v = [], []
-                for node, comp, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    own = np.frombuffer(raw.as_py(), U)
-                    for leader, its in shared.value.get(comp, ()):
-                        at = np.searchsorted(its, own)
-                        at[at == len(its)] = 0
-                        if int((its[at] == own).sum()) * (near + of) >= near * (len(own) + len(its)) and leader != node:
-                            u.append(node)
-                            v.append(leader)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        links = written(large.select("node", "comp", "tokens").mapInArrow(run, "u long, v long"), "ngram-links")
-        out = links if out is None else out.unionByName(links)
-    return out
-
-
-def _block_links(large: DataFrame, sizes: DataFrame, links: DataFrame, near: int, of: int) -> DataFrame:
-    """u, v: what the sets that no leader put into their component's main part link with."""
+def _shape(sizes: DataFrame, members: str, total: str, name: str) -> DataFrame:
+    """comp and, as `name`, how many blocks of a unit's size its sets make."""
+    return sizes.select("comp", F.greatest(F.ceil(F.col(members) / UNIT_SETS), F.ceil(F.col(total) / UNIT_TOKENS)).cast("int").alias(name))
+
+
+def _dealt(n: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+
+
+def _leader_links(large: DataFrame, sizes: DataFrame, total: int, near: int, of: int) -> DataFrame:
+    """u, v: links within each block of a large component, and of every member with a few leaders, who stand in all of its blocks."""
+    shape = _shape(sizes, "members", "total", "blocks")
+    placed = large.select("node", "comp", "tokens").join(shape, "comp")
+    h = F.xxhash64("node")
+    picked = large.groupBy("comp", F.pmod(h, F.lit(LEADERS)).alias("slot")).agg(F.min_by("node", h).alias("node")).select("node")
+    leaders = large.select("node", "comp", "tokens").join(picked, "node", "left_semi").join(shape, "comp")
+    members = placed.select("comp", _dealt("blocks", 1).alias("block"), "node", "tokens")
+    guests = leaders.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "tokens")
+    return written(_resolve_units(members.unionByName(guests), total, near, of, ["comp", "block"]), "ngram-links")
+
+
+def _block_links(large: DataFrame, sizes: DataFrame, total: int, links: DataFrame, near: int, of: int) -> DataFrame:
+    """u, v: what the sets that aren't in their component's main part yet link with; each is a query against all of its component, block by block."""
     found = components(links)
-    placed = large.join(found, "node", "left").withColumn("root", F.coalesce("component", "node")).select("node", "comp", "n", "tokens", "root")
+    placed = large.join(found, "node", "left").select("node", "comp", "n", F.coalesce("component", "node").alias("root"))
     mains = placed.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    rest = written(placed.select("node", "comp", "n", "root").join(mains, "comp").where("root <> main").select("node", "comp", "n"), "ngram-rest")
-    blocks = lambda m, t: F.greatest(F.ceil(F.col(m) / UNIT_SETS), F.ceil(F.col(t) / UNIT_TOKENS)).cast("int")
-    asking = rest.groupBy("comp").agg(F.count(F.lit(1)).alias("asks"), F.sum("n").alias("ask_tokens"))
-    shape = sizes.join(asking, "comp").select("comp", blocks("members", "total").alias("blocks"), blocks("asks", "ask_tokens").alias("chunks"))
-    dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    members = large.join(shape, "comp").select("comp", dealt("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "tokens", F.lit(False).alias("asks"))
-    queries = large.join(rest.select("node"), "node").join(shape, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), dealt("chunks", 2).alias("chunk"), "node", "tokens", F.lit(True).alias("asks"))
-    return _resolve_units(members.unionByName(queries), near, of, ["comp", "block", "chunk"], "asks")
+    rest = written(placed.join(mains, "comp").where("root <> main").select("node", "comp", "n"), "ngram-rest")
+    asking = written(rest.groupBy("comp").agg(F.count(F.lit(1)).alias("asks"), F.sum("n").alias("ask_tokens")), "ngram-rest")
+    both = sizes.join(asking, "comp")
+    shape = _shape(both, "members", "total", "blocks").join(_shape(both, "asks", "ask_tokens", "chunks"), "comp")
+    copies = shape.join(both, "comp").agg(F.coalesce(F.sum(F.col("total") * F.col("chunks") + F.col("ask_tokens") * F.col("blocks")), F.lit(0))).head()[0]
+    members = large.join(shape, "comp").select("comp", _dealt("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "tokens", F.lit(False).alias("asks"))
+    queries = large.join(rest.select("node"), "node").join(shape, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _dealt("chunks", 2).alias("chunk"), "node", "tokens", F.lit(True).alias("asks"))
+    return written(_resolve_units(members.unionByName(queries), int(copies), near, of, ["comp", "block", "chunk"], "asks"), "ngram-links")
+
+
+def _set_links(docs: DataFrame, doc: Column, text: Column, n: int, near: int, of: int, classes: DataFrame, n_tokens: int) -> DataFrame:
+    """u, v: edges between the nodes of different sets that links connect."""
+    bands = Bands(near, of)
+    parts = _part_count(docs.sparkSession, n_tokens, bands)
+    enough, found = _candidates(_doc_signatures(docs, text, n, bands, parts), bands, parts)
+    named = classes.withColumn("name", short_name(F.col("name_b"))).join(enough, "name").join(found.select(F.col("node").alias("name"), F.col("component").alias("comp")), "name")
+    wanted = written(named.select("node", "id", "text_hash", "name_a", "name_b", "comp"), "ngram-wanted")
+    candidates = written(_candidate_sets(docs, doc, text, n, wanted), "ngram-sets")
+
+    small, few, large, sizes, left = _split(candidates)
+    links = written(_resolve_units(small, few, near, of, ["comp"]), "ngram-links")
+    for seed in range(1, REFINEMENTS + 1):
+        if not left:
+            break
+        small, few, large, sizes, left = _split(_refined(large, bands, seed, left))
+        links = links.unionByName(written(_resolve_units(small, few, near, of, ["comp"]), "ngram-links"))
+    if left:
+        large = written(large, "ngram-sets")
+        by_leader = _leader_links(large, sizes, left, near, of)
+        links = links.unionByName(by_leader).unionByName(_block_links(large, sizes, left, by_leader, near, of))
+    return links
 
 
 def link_components(docs: DataFrame, n: int = 5, near: int = 80, of: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -515,40 +501,39 @@ def link_components(docs: DataFrame, n: int = 5, near: int = 80, of: int = 100,
 
     Two documents link if of * intersection >= near * union of their n-gram sets; component_id is the smallest id that
     links reach, the document's own included. Texts without words (null, empty) have empty sets and link with nothing.
-    Rows of one id are one document, and so are all rows without an id; repeated rows come back as often as they came.
-    An empty table gives no rows. Columns besides id and text don't matter.
+    Rows of one id are one document: what any of its texts links with, all of its rows are in a component with. A row
+    without an id is a document of its own that hands links on; its component is the smallest id that it reaches, or
+    null. Repeated rows come back as often as they came; an empty table gives no rows. Texts may be of any length.
+    Columns besides id and text don't matter. near / of is over a half; near = of asks for equal sets; between 0.999
+    and 1 a ValueError says that there would be too many size bands.
     """
     if not 0 < near <= of or 2 * near < of:
         raise ValueError("near / of has to be over a half and at most 1")
-    bands = Bands(near, of)
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    text = F.col(f"`{text_col}`")
+    doc, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("binary")
     sets = written(set_rows(docs, doc, text, n), "ngram-names")
-    n_tokens = int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0])
-    classes = written(sets.where("n > 0").groupBy("name_a", "name_b").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")), "ngram-classes")
-
-    parts = _part_count(docs.sparkSession, n_tokens, bands)
-    enough, found = _candidates(_doc_signatures(docs, text, n, bands, parts), bands, parts)
-    named = classes.withColumn("name", short_name(F.col("name_b"))).join(enough, "name").join(found.select(F.col("node").alias("name"), F.col("component").alias("comp")), "name")
-    candidates = written(_candidate_sets(docs, doc, text, n, written(named.select("node", "name_a", "name_b", "comp"), "ngram-wanted")), "ngram-sets")
-
-    small, large, sizes = _split(candidates)
-    links = written(_resolve_units(small, near, of, ["comp"]), "ngram-links")
-    for seed in range(1, REFINEMENTS + 1):
-        left = sizes.agg(F.sum("total")).head()[0]
-        if not left:
-            break
-        small, large, sizes = _split(_refined(large, bands, seed, int(left)))
-        links = links.unionByName(written(_resolve_units(small, near, of, ["comp"]), "ngram-links"))
-    if sizes.head(1):
-        large = written(large, "ngram-sets")
-        by_leader = _leader_links(large, sizes, near, of)
-        links = links.unionByName(by_leader).unionByName(written(_block_links(large, sizes, by_leader, near, of), "ngram-links"))
-
-    # rows of one id are one document, whatever their sets
-    own = classes.select("node", "name_a", "name_b", "rows")
-    roots = written(components(links), "ngram-roots")
-    lowest = own.join(roots, "node", "left").select("name_a", "name_b", F.coalesce("component", "node").alias("component"), "rows", "node").where((F.col("rows") > 1) | (F.col("component") != F.col("node")))
-    marked = sets.join(lowest.select("name_a", "name_b", "component"), ["name_a", "name_b"], "left")
-    component = F.coalesce("component", "id")
-    return marked.select(F.nullif(F.col("id"), F.lit(NO_ID)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
+    # a node is a set; its row is found again by the least id and, as an id may have several texts, by the text's hash
+    hash_of_least = F.coalesce(F.min_by("text_hash", "id"), F.min("text_hash"))
+    classes = sets.where("n > 0").groupBy("name_a", "name_b").agg(F.min("id").alias("id"), hash_of_least.alias("text_hash"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    # ids of several sets connect these
+    of_set = F.xxhash64("name_a", "name_b")
+    several = written(sets.where("id is not null").groupBy("id").agg(F.min(of_set).alias("a"), F.max(of_set).alias("b")).where("a <> b").select("id"), "ngram-several")
+    mixed = bool(several.head(1))
+
+    edges = classes.sparkSession.createDataFrame([], "u long, v long")
+    if near < of:
+        edges = _set_links(docs, doc, text, n, near, of, classes, int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]))
+    if mixed:
+        theirs = written(sets.join(several, "id", "left_semi").where("n > 0").select("id", "name_a", "name_b").distinct().join(classes.select("name_a", "name_b", "node"), ["name_a", "name_b"]).select("id", "node"), "ngram-several")
+        edges = edges.unionByName(theirs.join(theirs.groupBy("id").agg(F.min("node").alias("v")), "id").select(F.col("node").alias("u"), "v"))
+    roots = written(components(edges), "ngram-roots")
+
+    # a component's smallest id; what has one set, one row and no link is its own
+    tied = classes.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).where("rows > 1 or component is not null")
+    least = tied.groupBy("root").agg(F.min("id").alias("least"))
+    lowest = tied.select("name_a", "name_b", "root").join(least, "root").select("name_a", "name_b", "least")
+    marked = sets.join(lowest, ["name_a", "name_b"], "left").select("id", "n", F.least("id", "least").alias("component_id"))
+    if mixed:  # an id's rows without words go where the others go
+        whole = marked.join(several, "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("whole"))
+        marked = marked.join(whole, "id", "left").select("id", "n", F.coalesce("whole", "component_id").alias("component_id"))
+    return marked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -56,13 +56,53 @@ def test_against_brute_force(spark, monkeypatch, n, near, unit):
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
-    rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "p q r s t"), (None, None)]
+    rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "p q r s t"), (None, None), (None, "A B C D E F")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(nj.link_components(docs).collect(), key=str)
-    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (3, 3), (7, 3), (7, 3)]
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (-1, 3), (3, 3), (7, 3), (7, 3)]
     assert nj.link_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_ids_of_several_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(nj, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(nj, "UNIT_SETS", 4)
+    rng = random.Random(3)
+    text = lambda: [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    near = lambda words: " ".join([*words[:-1], "other"])
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, ""), (5, near(a)), (7, near(b)), (0, near(["first", *b[1:]]))]
+    rows += [(None, " ".join(c)), (None, " ".join(d)), (21, near(c)), (20, near(["first", *c])), (22, near(d)), (9, None)]
+    rows += [(100 + i, " ".join([*a[:50], *text()[:2], *a[50:]])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id, r.component_id) for r in nj.link_components(docs, 1).collect()), key=str)
+    want = [(i, 0) for i in (0, 1, 1, 1, 5, 7, *range(100, 112))] + [(None, 20), (20, 20), (21, 20), (None, 22), (22, 22), (9, 9)]
+    assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("near", [95, 99, 100])
+def test_high_thresholds(spark, near):
+    rng = random.Random(near)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(40_000)}" for _ in range(rng.choice([3, 60, 900, 6000]))]
+        for edits in (0, 0, 1, 8, 40):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.link_components(docs, 2, near, 100).collect()}
+    assert got == brute(rows, 2, near, 100)
+
+
+def test_bands_that_would_be_too_many(spark):
+    with pytest.raises(ValueError, match="too close"):
+        nj.Bands(99_999, 100_000)
+    long = nj.Bands(99, 100)
+    assert long.parts(len(long.starts) - 3)[0] > 0 and np.searchsorted(long.starts, nj.MOST_TOKENS - 1, "right") - 1 <= len(long.starts) - 3
+
+
 def test_linked_sets_share_enough_signatures():
     rng = np.random.default_rng(0)
     bands = nj.Bands(80, 100)
@@ -98,7 +138,8 @@ def test_link_sets_groups_and_queries():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (5, 5), (300, 300)]
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (5, 5), (300, 300)] + [(1000, 1001 + i) for i in range(300)] + [(999, 1300)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(found[i] == 0 for i in range(41)) and {found[x] for x in (100, 150, 200)} == {100} and 300 not in found
+    assert {found[x] for x in range(999, 1301)} == {999}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
