@@ -10,6 +10,8 @@ one shingle; a text without words has an empty sketch.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,9 +20,11 @@ from .common import lower_ascii
 
 WORDS = 5
 K = 128
-#: Ranges of ids that neighbour search deals the rows to: at most so many, of so many rows if that makes fewer.
-MOST_RANGES = 8192
-RANGE_ROWS = 256
+#: Neighbour search deals the rows to ranges of about so many rows each, but makes at most MOST_PARTS ranges (their first
+#: ids, 20 bytes each, are broadcast): MOST_RANGES come from quantiles, and are cut further by equal widths.
+RANGE_ROWS, MOST_RANGES, MOST_PARTS = 256, 8192, 1 << 18
+#: Rows that a task takes then.
+TASK_ROWS = 1 << 15
 
 
 def word_hashes(text: Column) -> Column:
@@ -84,39 +88,68 @@ def rank_in(bounds: list[int], x: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) <= x), at + step).otherwise(at))
 
 
-def with_next(docs: DataFrame, id_col: str, carry: list[str], range_rows: int = RANGE_ROWS, most_ranges: int = MOST_RANGES, prepare=None) -> DataFrame:
+def unit_of(h: Column) -> Column:
+    """A 64-bit hash as a share of all of them, 0 to 1."""
+    return (h.cast("double") + F.lit(float(1 << 63))) / float(1 << 64)
+
+
+def range_of(bounds: list[int], low: int, high: int, sub: int, alike: int, nulls: int) -> Column:
+    """The number of the range that a row (columns id, h) falls into; it doesn't fall as (id, h) rises.
+
+    Quantiles are cut into `sub` ranges of equal width; rows of an id that is a quantile by itself, into `alike` by
+    their hash; rows without an id come before all others, in `nulls` ranges.
+    """
+    at = rank_in(bounds, F.col("id"))
+    edges = F.array(*(F.lit(x) for x in (low, *bounds, high)))
+    a, b = F.get(edges, at), F.get(edges, at + 1)
+    share = (F.col("id").cast("double") - a.cast("double")) / F.greatest(b.cast("double") - a.cast("double"), F.lit(1.0))
+    fine = F.greatest(F.lit(0), F.least(F.lit(sub - 1), F.floor(share * sub)))
+    place = at * sub + fine
+    if alike > 1:
+        slot = F.when(F.col("id") == a, F.least(F.lit(alike - 1), F.floor(unit_of(F.col("h")) * alike))).otherwise(F.lit(alike))
+        place = place * (alike + 1) + slot
+    null_slot = F.least(F.lit(nulls - 1), F.floor(unit_of(F.col("h")) * nulls)) - nulls
+    return F.when(F.col("id").isNull(), null_slot).otherwise(place).cast("long")
+
+
+def with_next(docs: DataFrame, id_col: str, carry: list[str], range_rows: int = RANGE_ROWS, most_ranges: int = MOST_RANGES, most_parts: int = MOST_PARTS, prepare=None) -> DataFrame:
     """`docs` and, as next_<name>, the carried columns of the row with the next id; the last row's next is the first.
 
-    Ids are cut into ranges at approximate quantiles, so each range has few rows wherever the ids lie; a range's first
-    row is also dealt to the range before it. Null ids come first; rows of equal id follow each other in the order of
-    the first carried column's hash. `prepare` adds columns to the rows once they have been dealt.
+    Rows are dealt to ranges of ids, see range_of(); a range's first row is also dealt to the range before it. Null ids
+    come first; rows of equal id follow each other in the order of the first carried column's hash. `prepare` adds
+    columns to the rows once they have been dealt. Columns of any name are fine, but for those that start with "next_".
     """
-    total = docs.count()
-    ranges = min(most_ranges, max(1, total // range_rows))
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    hashed = F.xxhash64(carry[0])
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), hashed.alias("h"))
+    total, some, low, high = ids.agg(F.count(F.lit(1)), F.count("id"), F.coalesce(F.min("id"), F.lit(0)), F.coalesce(F.max("id"), F.lit(0))).head()
+    wanted = max(1, min(most_parts, total // range_rows))
+    ranges = min(most_ranges, wanted)
     cuts = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 100 * most_ranges)).head()[0] if ranges > 1 else []
     bounds = sorted(set(cuts or []))
-    part = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(rank_in(bounds, F.col("id"))).alias("part")
-    first = {r.part: r.id for r in ids.groupBy(part).agg(F.min("id").alias("id")).collect()}  # at most most_ranges + 2 rows
+    alike = max((sum(1 for _ in g) for _, g in itertools.groupby(cuts or [])), default=1)
+    part = range_of(bounds, low, high, -(-wanted // ranges), alike, max(1, min(wanted, (total - some) // range_rows)))
+    first = {r.part: (r.at.id, r.at.h) for r in ids.groupBy(part.alias("part")).agg(F.min(F.struct("id", "h")).alias("at")).collect()}  # MOST_PARTS bounds them
     parts = sorted(first)
-    before = [(p, first[p], parts[i - 1], i == 0) for i, p in enumerate(parts)]
+    before = [(p, *first[p], parts[i - 1], i == 0) for i, p in enumerate(parts)]
     spark = docs.sparkSession
-    extra = F.broadcast(spark.createDataFrame(before, "p int, first_id long, target int, wraps boolean"))
+    extra = F.broadcast(spark.createDataFrame(before, "p long, first_id long, first_h long, target long, wraps boolean"))
 
-    given = docs.withColumn("id", F.col(id_col).cast("long")).withColumn("part", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(rank_in(bounds, F.col("id"))))
-    given = given.join(extra, F.col("part") == F.col("p"), "left")
+    names = docs.columns
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), hashed.alias("h"))
+    given = given.withColumn("part", part).join(extra, F.col("part") == F.col("p"), "left")
     own = F.struct(F.col("part").alias("to"), F.lit(False).alias("guest"), F.lit(False).alias("last"))
     guest = F.struct(F.col("target").alias("to"), F.lit(True).alias("guest"), F.col("wraps").alias("last"))
-    dealt = given.withColumn("at", F.explode(F.when(F.col("id").eqNullSafe(F.col("first_id")), F.array(own, guest)).otherwise(F.array(own))))
-    dealt = dealt.select(*(F.col(c) for c in docs.columns), "id", "at.*")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(n, "to")
+    is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    dealt = given.withColumn("at", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
+    dealt = dealt.select("row", "id", "h", "at.*")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS + 1)
+    dealt = dealt.repartition(n, "to").select(F.struct("id", "h", "to", "guest", "last").alias("place"), *(F.col(f"row.`{c}`") for c in names))
     if prepare:
         dealt = prepare(dealt)
-    order = Window.partitionBy("to").orderBy("last", F.col("id").asc_nulls_first(), F.xxhash64(carry[0]), "guest")
-    new = [c for c in dealt.columns if c not in ("id", "to", "guest", "last")]
-    ahead = dealt.select(*new, "guest", *(F.lead(c).over(order).alias(f"next_{c}") for c in carry))
-    return ahead.where(~F.col("guest")).drop("guest")
+    order = Window.partitionBy("place.to").orderBy("place.last", F.col("place.id").asc_nulls_first(), "place.h", "place.guest")
+    new = [c for c in dealt.columns if c != "place"]
+    ahead = dealt.select("place", *(F.col(f"`{c}`") for c in new), *(F.lead(c).over(order).alias(f"next_{c}") for c in carry))
+    return ahead.where(~F.col("place.guest")).drop("place")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, k: int = K) -> DataFrame:

@@ -17,11 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import map_batches
+
 NO_LANGUAGE = "und"
 LONGEST = 4
 LENGTH = 400
 #: n-grams that a worker gathers before it sums them up.
 GATHERED = 1_000_000
+#: Parts of a language whose n-grams are ranked apart; the profile comes from their best.
+RANK_PARTS = 16
 BLANK = 0x20
 
 _SYMBOLS: list[np.ndarray] = []
@@ -31,10 +35,10 @@ def symbols() -> np.ndarray:
     """Of each code point: itself, in 16 bits, if it is a letter, else a blank."""
     if not _SYMBOLS:
         letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        own = (np.arange(0x110000) & 0xFFFF).astype(np.uint64)
+        own = (np.arange(0x110000) & 0xFFFF).astype(np.uint16)
         own[own == 0] = 1
         own[own == BLANK] = 1
-        _SYMBOLS.append(np.where(letters, own, np.uint64(BLANK)))
+        _SYMBOLS.append(np.where(letters, own, np.uint16(BLANK)))
     return _SYMBOLS[0]
 
 
@@ -47,7 +51,7 @@ def grams(raw: bytes | None) -> np.ndarray:
     blank = s == BLANK
     keep = np.ones(len(s), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
-    s, blank = s[keep], blank[keep]
+    s, blank = s[keep].astype(np.uint64), blank[keep]
     if len(s) < 3:
         return np.zeros(0, np.uint64)
     out = [s[~blank]]
@@ -118,10 +122,13 @@ def fit(docs: DataFrame, lang: Column, text: Column, length: int = LENGTH) -> di
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part), pa.array(n[at : at + 100_000].astype(np.int64))], ["lang", "gram", "n"])
 
     given = docs.select(lang.cast("string").alias("lang"), text.cast("binary").alias("text")).where("lang is not null and text is not null")
-    counts = given.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_batches(given, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # first the most frequent of each of a language's parts, so that no task ranks all n-grams of one
+    parts = counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(RANK_PARTS)))
+    few = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= length)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profiles: dict[str, list[int]] = {}
-    for r in counts.withColumn("rank", rank).where(F.col("rank") <= length).orderBy("lang", "rank").collect():
+    for r in few.select("lang", "gram", "n").withColumn("rank", rank).where(F.col("rank") <= length).orderBy("lang", "rank").collect():
         profiles.setdefault(r.lang, []).append(r.gram)
     return profiles
 
@@ -173,4 +180,4 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: Column, keep:
             yield pa.RecordBatch.from_arrays(cols, ["kept", "lang_pred", "score"])
 
     kept = given.schema["kept"].dataType.simpleString()
-    return given.mapInArrow(run, f"kept {kept}, lang_pred string, score double").select("kept.*", "lang_pred", "score")
+    return map_batches(given, run, f"kept {kept}, lang_pred string, score double").select("kept.*", "lang_pred", "score")

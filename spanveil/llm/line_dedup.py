@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 #: Share of a host's pages above which a line is boilerplate, and the pages that must hold it at least. A template line of
 #: a tenth of n pages is found on a share that scatters by sqrt(0.09 / n): a bar at that rate misses it on half of the
@@ -63,10 +63,13 @@ def clean(
 ) -> DataFrame:
     """`docs` with boilerplate lines cut from the text, and n_lines, n_cut as a last column `line_dedup` (struct).
 
+    If the input has a column of that name, the last column has underscores behind its name.
+
     A null text stays null and is a page without lines; null hosts are one host; a line that a page repeats counts
     once for it and goes everywhere on it; repeated rows are pages each, unless `copies_once` counts a line once for the
     copies and near copies of a page (and cuts what is boilerplate nevertheless from each of them); an empty table gives no rows. The input's
-    columns come back as they are but for the text, under any names but `line_dedup`.
+    columns come back as they are but for the text. Long texts are split whole. A host has at most its pages' mean
+    number of lines / ratio boilerplate lines, as each takes a share `ratio` of its pages.
     """
     given = docs.select(F.struct("*").alias("row"), host.alias("host"), F.col(f"`{text_col}`").alias("text"))
     found = written(boilerplate(given, F.col("host"), F.col("text"), ratio, least_pages, copies_once), "line-dedup")
@@ -83,5 +86,5 @@ def clean(
     n_cut = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept"))
     return joined.select(
         *(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns),
-        F.struct(F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), n_cut.alias("n_cut")).alias("line_dedup"),
+        F.struct(F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), n_cut.alias("n_cut")).alias(free_name("line_dedup", docs.columns)),
     )

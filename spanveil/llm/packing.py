@@ -19,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 WINDOW = 2048
 END_ID = 1
 BLOCK = 65536
+#: Bytes without a border between white space and the rest, from which on a text goes to the library that needs no stack or square time for them.
+LONG_RUN = 20_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -89,13 +93,20 @@ def byte_of_char() -> dict[str, int]:
 
 
 _ENCODERS: dict = {}
+_WHITE = np.array([9 <= b <= 13 or b == 32 for b in range(256)])
+
+
+def longest_run(text: str) -> int:
+    """Bytes of the longest stretch of only ASCII white space, or of none."""
+    white = _WHITE[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    return int(np.diff(np.flatnonzero(white[1:] != white[:-1]), prepend=-1, append=len(white) - 1).max()) if len(white) else 0
 
 
 def encoder(path: str, special_as_text: bool = False):
     """text -> ids of the tokenizer file at `path`, with no special tokens added.
 
     A byte-level BPE whose ids follow the order of its merges is run by the faster of the two libraries that give
-    the same ids; any other file by `tokenizers` itself. Added tokens that stand in a text are matched as that
+    the same ids, unless a text has runs of LONG_RUN bytes; any other file by `tokenizers` itself. Added tokens that stand in a text are matched as that
     library does by default, or are ordinary text if `special_as_text`.
     """
     key = (path, special_as_text)
@@ -107,7 +118,8 @@ def encoder(path: str, special_as_text: bool = False):
         fast = _fast(path, special_as_text)
         probe = "One  two\n\n3 été, it's ñandú\t<x> 日本 12345 a_b !?… "
         slow = lambda text: own.encode(text, add_special_tokens=False).ids
-        _ENCODERS[key] = fast if fast and fast(probe) == slow(probe) else slow
+        alike = fast and fast(probe) == slow(probe)
+        _ENCODERS[key] = (lambda text: slow(text) if len(text) >= LONG_RUN // 4 and longest_run(text) >= LONG_RUN else fast(text)) if alike else slow
     return _ENCODERS[key]
 
 
@@ -231,4 +243,4 @@ def pack(
     given = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text_bytes"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, {PIECES}" + ", ids array<int>" * with_ids
-    return given.mapInArrow(run, schema)
+    return map_batches(given, run, schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Labelled rows that the model is fitted on at most (those whose ids' hashes are the smallest).
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS = 32, 8
@@ -217,15 +219,20 @@ def feature_rows(docs: DataFrame, keep: list[Column], text: Column) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x.as_py()) for x in batch.column(1)], pa.list_(pa.float64()))], ["kept", "features"])
 
     kind = given.schema["kept"].dataType.simpleString()
-    return given.mapInArrow(run, f"kept {kind}, features array<double>").select("kept.*", "features")
+    return map_batches(given, run, f"kept {kind}, features array<double>").select("kept.*", "features")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fitted on the labelled rows, at most `sample_rows` of them (a documented bound; which ones is settled by a hash of the id). Null labels and labels of no document don't count."""
-    own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    """Fitted on the labelled rows, at most `sample_rows` of them (a documented bound; which ones is settled by a hash of the id).
+
+    Null labels and labels of no document don't count; a label given twice counts once, an id with both labels once for
+    each; of several rows of one id, that whose features' hash is the least is the document.
+    """
+    own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     sample = F.broadcast(own.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows))  # at most sample_rows rows of 12 bytes
     picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(sample, "id")
-    rows = feature_rows(picked, [F.col("id"), F.col("label")], F.col("text")).limit(2 * sample_rows).collect()
+    made = feature_rows(picked, [F.col("id"), F.col("label")], F.col("text"))
+    rows = made.groupBy("id", "label").agg(F.min_by("features", F.xxhash64("features")).alias("features")).collect()  # at most sample_rows rows of 23 numbers
     rows.sort(key=lambda r: (r.id, r.label, r.features))
     x = np.array([r.features for r in rows], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.label for r in rows], float))
@@ -243,4 +250,4 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text: Column) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["kept", "score"])
 
     kind = given.schema["kept"].dataType.simpleString()
-    return given.mapInArrow(run, f"kept {kind}, score double").select("kept.*", "score")
+    return map_batches(given, run, f"kept {kind}, score double").select("kept.*", "score")

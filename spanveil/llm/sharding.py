@@ -20,14 +20,20 @@ ROWS_PER_BUCKET = 2048
 BLOCK = 4096
 
 
-def running_starts(counts: DataFrame, key: str, value: str, block: int = BLOCK) -> DataFrame:
-    """key, start: the sum of `value` over all smaller keys (integers from 0), in two levels so that no task takes all keys."""
+def running_starts(counts: DataFrame, key: str, value: str, block: int = BLOCK, by: str | None = None) -> DataFrame:
+    """(by,) key, start: the sum of `value` over all smaller keys (integers from 0) of the same `by`, in two levels so that no task takes all keys."""
     own = counts.withColumn("_block", F.expr(f"{key} div {block}"))
-    blocks = own.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return own.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(blocks, "_block").select(key, (F.col("_base") + F.col("_in")).alias("start"))
+    if by:
+        own = own.withColumn("_by", F.col(by))
+    else:
+        own = own.withColumn("_by", F.lit(0))
+    blocks = own.groupBy("_by", "_block").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy("_by").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("_by").alias("_of"), F.col("_block").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_by", "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    placed = placed.join(blocks, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_b")))
+    return placed.select(*([by] if by else []), key, (F.col("_base") + F.col("_in")).alias("start"))
 
 
 def assign(
@@ -58,13 +64,10 @@ def assign(
     carried = [f"carry_{n}" for n in carry]
 
     counts = docs.select(F.col(f"`{source_col}`").alias("source"), dealt.alias("h")).withColumn("bucket", part).groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        F.col("source").alias("s"),
-        F.col("bucket").alias("b"),
-        F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("before"),
-        F.sum("n").over(Window.partitionBy("source")).alias("of"),
-    )
+    counts = written(counts, "sharding")
+    of = counts.groupBy(F.col("source").alias("o")).agg(F.sum("n").alias("of"))
+    counts = running_starts(counts, "bucket", "n", by="source").join(of, F.col("source").eqNullSafe(F.col("o")))
+    counts = counts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("start").alias("before"), "of")
     within = Window.partitionBy("source", "bucket").orderBy("h", "id", *carried)
     ranked = rows.withColumn("k", F.row_number().over(within)).join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     # a source's phase spreads the ranks of many small sources over the whole range

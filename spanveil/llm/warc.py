@@ -24,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import map_batches, new_path, written
 
 #: Bytes of records after which a task begins its next package.
 PACKAGE_BYTES = 16 << 20
@@ -222,19 +222,20 @@ def read_package(read, size: int) -> Iterator[Record]:
 def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes a record per row; returns path and records of each package that the successful tasks wrote.
 
-    Of the rows with equal payloads of at least `least_bytes` bytes, that with the largest id is a response and the
-    others revisit it; rows of that id, and rows without an id, are responses. A null payload is an empty one. A
-    package's name is new for each attempt of a task, so what a lost attempt left is in no list.
+    Of the rows with equal payloads (SHA-256) of at least `least_bytes` bytes, that with the largest id is a response
+    and the others revisit it; rows of that id, and rows without an id, are responses. A null payload is an empty one;
+    one of any length is held whole, and closes its package. A package's name is new for each attempt of a task, so
+    what a lost attempt left is in no list. `folder` is a whole URI.
     """
     payload = F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit("").cast("binary"))
-    given = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    ids = given.where(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("owner"), F.count("id").alias("n")).where("n > 1")
-    joined = given.join(ids.select(F.col("sha1").alias("of"), "owner"), F.col("sha1") == F.col("of"), "left")
+    given = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"), F.unhex(F.sha2(payload, 256)).alias("same"))
+    ids = given.where(F.length("payload") >= least_bytes).groupBy("same").agg(F.max("id").alias("owner"), F.count("id").alias("n")).where("n > 1")
+    joined = given.join(ids.select(F.col("same").alias("of"), "owner"), F.col("same") == F.col("of"), "left")
     refers_to = F.when(F.col("id") < F.col("owner"), F.col("owner"))
     rows = joined.select("id", "url", "payload", "sha1", refers_to.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, base = pafs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
 
         def put(package: Package) -> pa.RecordBatch:
@@ -255,7 +256,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if package.index:
             yield put(package)
 
-    return rows.mapInArrow(run, "path string, records long")
+    return map_batches(rows, run, "path string, records long")
 
 
 def read_packages(packages: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
@@ -265,7 +266,7 @@ def read_packages(packages: DataFrame, folder: str, with_payload: bool = False)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows: list[tuple] = []
@@ -290,7 +291,7 @@ def read_packages(packages: DataFrame, folder: str, with_payload: bool = False)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True))[: len(kinds)], kinds, strict=True)], names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return packages.select("path").mapInArrow(run, schema)
+    return map_batches(packages.select("path"), run, schema)
 
 
 def round_trip(pages: DataFrame, **more) -> DataFrame:

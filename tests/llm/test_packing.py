@@ -53,3 +53,24 @@ def test_pieces_make_the_documents_again(spark, block):
         mine = sorted((r.offset, r.length) for r in got if r.sequence_id == s)
         assert mine[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(mine, mine[1:], strict=False)) and sum(mine[-1]) <= 512
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("unit", [" ", "a", "\n", "1", "!", " \n", "é", "\u3000", "日本"])
+def test_long_runs(unit):
+    from tokenizers import Tokenizer
+
+    text = "start " + unit * (1_000_000 // len(unit)) + "a end"
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(PATH)(text) == want
+
+
+def test_longest_run():
+    assert [packing.longest_run(x) for x in ("", "a", "ab c", " \n\t x", "é é", "a" * 7 + " " * 9)] == [0, 1, 2, 4, 2, 9]
+
+
+def test_ids_of_all_documents(spark):
+    from tokenizers import Tokenizer
+
+    own, encode = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    assert texts and all(encode(x) == own.encode(x, add_special_tokens=False).ids for x in texts)
