@@ -52,8 +52,21 @@ NAME_FORMS = {
     "смирнова": ("S", NOM_F),
 }
 #: Endings of patronymics and of surnames.
-PATRONYMIC_ENDINGS = (("ич", NOM_M), ("ичу", DAT_M), ("ичем", INS_M), ("овна евна ична", NOM_F), ("овне евне ичне", DAT_F), ("овной евной ичной", INS_F))
-SURNAME_ENDINGS = (("ов ев ин ын", NOM_M), ("ова ева ина ына", NOM_F), ("ову еву ину ыну", DAT_M), ("овой евой иной ыной", DAT_F | INS_F), ("овым евым иным", INS_M))
+PATRONYMIC_ENDINGS = (
+    (("ович", "евич", "ич"), NOM_M),
+    (("овичу", "евичу", "ичу"), DAT_M),
+    (("овичем", "евичем", "ичем"), INS_M),
+    (("овна", "евна", "ична"), NOM_F),
+    (("овне", "евне", "ичне"), DAT_F),
+    (("овной", "евной", "ичной"), INS_F),
+)
+SURNAME_ENDINGS = (
+    (("ов", "ев", "ин", "ын"), NOM_M),
+    (("ова", "ева", "ина", "ына"), NOM_F),
+    (("ову", "еву", "ину", "ыну"), DAT_M),
+    (("овой", "евой", "иной", "ыной"), DAT_F | INS_F),
+    (("овым", "евым", "иным"), INS_M),
+)
 #: Words that make what follows a street.
 STREET_WORDS = {"улица", "ул", "проспект", "пр-т", "просп", "переулок", "пер", "бульвар", "б-р", "шоссе", "площадь", "пл"}
 #: Parts of an address with their short and full labels.
@@ -74,7 +87,7 @@ def name_role(folded: str) -> tuple[str, int]:
         return NAME_FORMS[folded]
     for role, endings in (("P", PATRONYMIC_ENDINGS), ("S", SURNAME_ENDINGS)):
         for ends, forms in endings:
-            if (role == "P" or len(folded) > 3) and any(folded.endswith(e) and len(folded) > len(e) for e in ends.split()):
+            if (role == "P" or len(folded) > 3) and any(folded.endswith(e) and len(folded) > len(e) for e in ends):
                 return role, forms
     return "", 0
 
@@ -99,6 +112,7 @@ def kind_of(text: str) -> str:
     return "word" if all(c.isalpha() or c in "-'" for c in text) else "other"
 
 
+@lru_cache(1)  # names and addresses ask for the same text one after the other
 def tokens(text: str) -> list[Token]:
     """Runs of one script or of digits, joined over dashes; numbers keep their points; a lone capital and the point after it are one initial."""
     out: list[Token] = []
@@ -132,7 +146,12 @@ def after_street_word(row: list[Token], i: int) -> bool:
     return before.text.lower() in STREET_WORDS or before.text == "." and i > 1 and row[i - 2].text.lower() == "ул"
 
 
+_CAPITAL = re.compile("[А-ЯЁ]")
+
+
 def person(text: str) -> list[Span]:
+    if not _CAPITAL.search(text):
+        return []
     row = tokens(text)
     roles = "".join(t.role or "-" for t in row)
     joined = [not text[a.end : b.start].strip(" \t") for a, b in zip(row, row[1:], strict=False)]
@@ -275,7 +294,12 @@ class Row:
         return start, -stop, end
 
 
+_STREET = re.compile("|".join(w for kind in LABELS["street"].values() for w in kind), re.IGNORECASE)
+
+
 def address(text: str) -> list[Span]:
+    if not _CAPITAL.search(text) or not _STREET.search(text):
+        return []
     row, out, i = Row(text), [], 0
     while i < len(row.row):
         found = row.at(i)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import ipaddress
 import json
 import re
@@ -192,6 +193,16 @@ def ip_alone(text: str, start: int, end: int) -> bool:
     return stands_alone(text, start, end) and not (after[:1] == ":" or re.match(r"\.[0-9]", after))
 
 
+def apart(spans: list[Span]) -> list[Span]:
+    """In order; of overlapping ones the longest, then the first."""
+    out: list[Span] = []
+    for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+        i = bisect.bisect(out, (a, b))
+        if all(b <= c or d <= a for c, d in out[max(0, i - 1) : i + 1]):
+            out.insert(i, (a, b))
+    return out
+
+
 def ip(text: str) -> list[Span]:
     """Bracketed IPv6 first, then other IPv6 outside all brackets, then IPv4; of overlapping ones the longest, then the first."""
     found: list[Span] = []
@@ -206,15 +217,12 @@ def ip(text: str) -> list[Span]:
                 end = more.end()
             if ip_alone(text, start, end) and ip6_ok(text[start:end]):
                 found.append((start, end))
+    wide = list(found)
     for m in _IP4.finditer(text):
         start, end = m.span()
-        if not any(a <= start and end <= b for a, b in found) and ip_alone(text, start, end) and ip4_ok(m[0]):
+        if not any(a <= start and end <= b for a, b in wide) and ip_alone(text, start, end) and ip4_ok(m[0]):
             found.append((start, end))
-    out: list[Span] = []
-    for a, b in sorted(found, key=lambda s: (s[0] - s[1], s[0])):
-        if all(b <= c or d <= a for c, d in out):
-            out.append((a, b))
-    return sorted(out)
+    return apart(found)
 
 
 # numbers with checks ------------------------------------------------------------------------------------------------
@@ -245,9 +253,11 @@ def in_turn(text: str, patterns, ok) -> list[Span]:
     """Matches of each pattern that are ok and don't overlap one accepted before."""
     out: list[Span] = []
     for p in patterns:
+        before = sorted(out)  # apart from each other, so only the neighbours of a place can reach it
         for m in p.finditer(text):
             a, b = m.span()
-            if all(b <= c or d <= a for c, d in out) and ok(text, a, b):
+            i = bisect.bisect(before, (a, b))
+            if all(b <= c or d <= a for c, d in before[max(0, i - 1) : i + 1]) and ok(text, a, b):
                 out.append((a, b))
     return out
 

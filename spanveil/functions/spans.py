@@ -1,93 +1,63 @@
-"""Span columns: finding patterns, neighbours of a span, and checks of digits, all as Catalyst expressions.
+"""Span columns: the places of a pattern as Catalyst expressions, whose cost follows the text and its spans, not their product.
 
-A span is struct<start, end, at, value>: half-open UTF-8 byte offsets, the code-point offset of its start, its text.
+A span is struct<start, end, value>: half-open UTF-8 byte offsets and its text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORDY = r"[\p{L}\p{Nd}]"
-
-
-def find_spans(text: Column, pattern: str) -> Column:
-    """All matches of a Java pattern from left to right, without overlap; matches of nothing are left out.
-
-    A running sum over what stands between the matches and the matches themselves gives the offsets.
-    """
-    kind = "array<struct<start:int,end:int,at:int,value:string>>"
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["end"] + F.octet_length(pair["gap"])
-        at = acc["at"] + F.char_length(pair["gap"])
-        hit = F.coalesce(pair["hit"], F.lit(""))
-        one = F.struct(begin.alias("start"), (begin + F.octet_length(hit)).alias("end"), at.alias("at"), hit.alias("value"))
-        return F.struct((begin + F.octet_length(hit)).alias("end"), (at + F.char_length(hit)).alias("at"), F.when(hit == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
-
-    # the last gap has no match after it, and is paired with null
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
-
-
-def before(text: Column, span: Column, n: int = 1) -> Column:
-    """Up to n characters before a span."""
-    return F.substring(text, F.greatest(span["at"] - n + 1, F.lit(1)), F.least(span["at"], F.lit(n)))
-
-
-def after(text: Column, span: Column, n: int = 1) -> Column:
-    return F.substring(text, span["at"] + F.char_length(span["value"]) + 1, F.lit(n))
+#: Elements that a running sum takes together; it costs about this many steps for each.
+RUN = 64
 
 
-def stands_alone(text: Column, span: Column) -> Column:
-    """Neither neighbour is a letter or a digit."""
-    return ~(before(text, span).rlike(WORDY) | after(text, span).rlike(WORDY))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, wherever and however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def number_alone(text: Column, span: Column) -> Column:
-    """Stands alone, and no - . or _ ties it to a further digit."""
-    return stands_alone(text, span) & ~(before(text, span, 2).rlike(r"[0-9][-._]$") | after(text, span, 2).rlike(r"^[-._][0-9]"))
+def indexes(n: Column) -> Column:
+    """0 to n - 1; none for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def only_digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Of an array of ints, in each place what `combine` makes of all values before it; `zero` in the first.
 
+    Done in runs of RUN values, and then over the runs, so that the cost follows the length and not its square.
+    """
+    one = lambda xs: F.aggregate(
+        xs,
+        F.struct(zero.alias("now"), F.array().cast("array<int>").alias("out")),
+        lambda acc, x: F.struct(combine(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")),
+    )
 
-def one_digit(digits: Column) -> Column:
-    return digits.rlike(r"^([0-9])\1*$")
-
-
-def digit(digits: Column, i: int) -> Column:
-    return F.substring(digits, i + 1, 1).cast("int")
-
-
-def weighted(digits: Column, weights) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + digit(digits, i) * F.lit(w)
-    return total
-
-
-def luhn_ok(digits: Column) -> Column:
-    return F.call_function("luhn_check", digits)
-
+    def by_runs(xs: Column) -> Column:
+        runs = F.transform(indexes(F.ceil(F.size(xs) / RUN).cast("int")), lambda i: one(F.slice(xs, i * RUN + 1, F.lit(RUN))))
+        based = lambda rs: F.zip_with(rs, one(F.transform(rs, lambda r: r["now"]))["out"], lambda r, base: F.transform(r["out"], lambda x: combine(base, x)))
+        return F.flatten(let(runs, based))
 
-def inn_ok(digits: Column) -> Column:
-    from .scanners import INN_10, INN_11, INN_12
+    return let(values, lambda xs: F.when(F.size(xs) <= RUN, one(xs)["out"]).otherwise(by_runs(xs)))
 
-    ten = (F.length(digits) == 10) & (weighted(digits, INN_10) % 11 % 10 == digit(digits, 9))
-    twelve = (F.length(digits) == 12) & (weighted(digits, INN_11) % 11 % 10 == digit(digits, 10)) & (weighted(digits, INN_12) % 11 % 10 == digit(digits, 11))
-    return ~one_digit(digits) & (ten | twelve)
 
+def find_spans(text: Column, pattern: str) -> Column:
+    """All matches of a Java pattern from left to right, without overlap; matches of nothing are left out.
 
-def snils_ok(digits: Column) -> Column:
-    low = F.substring(digits, 1, 9).cast("int") >= 1001998
-    return low & (weighted(digits, range(9, 0, -1)) % 101 % 100 == F.substring(digits, 10, 2).cast("int"))
+    What stands between the matches is had by a split, and running sums of lengths give the offsets.
+    """
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
 
+    def placed(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda p: p["gap"] + p["size"]), lambda a, b: a + b, F.lit(0))
+        whole = F.zip_with(parts, ends, lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("end"), p["value"].alias("value")))
+        return F.filter(whole, lambda s: s["start"] < s["end"])
 
-def account_ok(code: Column, digits: Column) -> Column:
-    return weighted(F.concat(F.substring(code, 7, 3), digits), (7, 1, 3) * 7 + (7, 1)) % 10 == 0
+    # the last gap has no match after it
+    pairs = lambda f: F.zip_with(F.slice(f["gaps"], 1, F.size(f["hits"])), f["hits"], lambda g, h: F.struct(F.octet_length(g).alias("gap"), F.octet_length(h).alias("size"), h.alias("value")))
+    return let(found, lambda f: let(pairs(f), placed))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -95,10 +65,6 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def apart_from(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: overlaps(s, o)))
-
-
 def byte_slice(raw: Column, start: Column, end: Column) -> Column:
     """The text between two byte offsets of a binary column."""
     return F.substring(raw, start + 1, end - start).cast("string")

@@ -1,18 +1,20 @@
 """Detectors: the sixteen built-in ones, patterns of the caller's, and functions of the caller's.
 
-Number families and patterns are Catalyst expressions. Families whose rules need a cursor over the text (web
-addresses, words before a number, names, postal addresses, secrets) share one Arrow function, so that a row goes to
-Python once, and only if a cheap test says that it may hold something.
+The built-in families share one Arrow function. A row goes to Python once, with a bit for each family whose cheap test,
+made by Java, says that the row may hold something; most rows have none and don't go. (As Catalyst expressions, the
+number families took eight times as long: higher-order functions are interpreted.) Patterns of the caller's are Catalyst
+expressions.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import russian, scanners
@@ -49,7 +51,8 @@ SECRETS = ("SECRET_JWT", "SECRET_PRIVATE_KEY", "SECRET_API_KEY", "CONNECTION_STR
 class Detector:
     """name, entity and confidence of its findings, and one of: `spans`, text column -> array of spans; `scan`, text -> code-point spans.
 
-    `hint` is a Java pattern that a text with a finding surely matches, or None.
+    `hint` is a Java pattern that a text with a finding surely matches, or None. `sure` spans, as those of patterns,
+    lie within the text and cut no character; others are looked at.
     """
 
     name: str
@@ -58,6 +61,7 @@ class Detector:
     spans: Callable[[Column], Column] | None = None
     scan: Callable[[str], list[tuple[int, int]]] | None = None
     hint: str | None = None
+    sure: bool = False
 
     def __post_init__(self):
         if not self.name.strip() or any(ord(c) < 32 or ord(c) == 127 for c in self.name):
@@ -70,40 +74,8 @@ class Detector:
             raise ConfigError("detector needs spans or scan")
 
 
-def _native(pattern: str, ok: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
-    return lambda text: F.filter(sp.find_spans(text, pattern), lambda s: ok(text, s))
-
-
-def _two(first: str, second: str, ok: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
-    """Matches of the second pattern count only apart from accepted ones of the first."""
-
-    def spans(text: Column) -> Column:
-        own = _native(first, ok)(text)
-        return F.concat(own, sp.apart_from(_native(second, ok)(text), own))
-
-    return spans
-
-
-PHONE = r"\+[0-9][0-9\t\n\f\r \-().]{5,22}[0-9]|(?:\+7|8)[0-9\t\n\f\r \-().]{8,22}[0-9]"
-CARD = r"(?:[0-9][ -]?){12,18}[0-9]"
-TWO_SCRIPTS_OF_SNILS = r"[0-9]{3}-[0-9]{3}-[0-9]{3} [0-9]{2}", r"[0-9]{11}"
-
-
-def _phone_ok(text: Column, s: Column) -> Column:
-    value = s["value"]
-    digits = sp.only_digits(value)
-    bracketed = value.rlike(r"[()]")
-    group = F.regexp_extract(value, r"^[^()]*\(([0-9]+)\)[^()]*$", 1)
-    local = value.startswith("8") | digits.startswith("7")
-    alone = ~(sp.before(text, s).rlike(r"[\p{L}\p{Nd}+()-]") | sp.after(text, s).rlike(r"[\p{L}\p{Nd}+()-]"))
-    shape = F.when(local, (F.length(digits) == 11) & (~bracketed | (F.length(group) == 3) & (F.substring(digits, 2, 3) == group))).otherwise(value.startswith("+") & (~bracketed | (group != "")))
-    return alone & ~value.contains(".") & F.length(digits).between(8, 15) & shape
-
-
-def _card_ok(text: Column, s: Column) -> Column:
-    digits = sp.only_digits(s["value"])
-    mixed = s["value"].contains(" ") & s["value"].contains("-")
-    return sp.number_alone(text, s) & ~mixed & ~sp.one_digit(digits) & sp.luhn_ok(digits)
+#: What every marker word has that has to stand before a number.
+CYRILLIC = "[А-Яа-яЁё]"
 
 
 def person() -> Detector:
@@ -111,8 +83,7 @@ def person() -> Detector:
 
 
 def address() -> Detector:
-    words = "|".join(w for part in russian.LABELS["street"].values() for w in part)
-    return Detector("address", "ADDRESS", 0.84, scan=russian.address, hint=f"(?iu)(?:{words})")
+    return Detector("address", "ADDRESS", 0.84, scan=russian.address, hint="[А-ЯЁ]")  # the scan looks for street words itself
 
 
 def email() -> Detector:
@@ -120,7 +91,7 @@ def email() -> Detector:
 
 
 def phone() -> Detector:
-    return Detector("phone", "PHONE", 0.85, spans=_native(PHONE, _phone_ok), hint=PHONE)
+    return Detector("phone", "PHONE", 0.85, scan=scanners.phone, hint=r"\+[0-9][0-9\t\n\f\r \-().]{5}|(?:\+7|8)[0-9\t\n\f\r \-().]{8}")
 
 
 def ip() -> Detector:
@@ -128,33 +99,31 @@ def ip() -> Detector:
 
 
 def url() -> Detector:
-    return Detector("url", "URL", 0.88, scan=scanners.url, hint="https?://")
+    return Detector("url", "URL", 0.88, scan=scanners.url, hint="://")
 
 
 def inn() -> Detector:
-    return Detector("inn", "INN", 0.92, spans=_native("[0-9]{12}|[0-9]{10}", lambda t, s: sp.number_alone(t, s) & sp.inn_ok(s["value"])), hint="[0-9]{10}")
+    return Detector("inn", "INN", 0.92, scan=scanners.inn, hint="[0-9]{10}")
 
 
 def snils() -> Detector:
-    ok = lambda t, s: sp.number_alone(t, s) & sp.snils_ok(sp.only_digits(s["value"]))
-    return Detector("snils", "SNILS", 0.91, spans=_two(*TWO_SCRIPTS_OF_SNILS, ok), hint="|".join(TWO_SCRIPTS_OF_SNILS))
+    return Detector("snils", "SNILS", 0.91, scan=scanners.snils, hint="[0-9]{3}-[0-9]{3}-[0-9]{3} |[0-9]{11}")
 
 
 def passport() -> Detector:
-    return Detector("passport", "PASSPORT", 0.86, scan=scanners.passport, hint=r"[0-9] [0-9]{6}")
+    return Detector("passport", "PASSPORT", 0.86, scan=scanners.passport, hint=CYRILLIC)
 
 
 def bank_card() -> Detector:
-    return Detector("bank_card", "BANK_CARD", 0.87, spans=_native(CARD, _card_ok), hint=CARD)
+    return Detector("bank_card", "BANK_CARD", 0.87, scan=scanners.bank_card, hint="(?:[0-9][ -]?){12}[0-9]")
 
 
 def bank_account() -> Detector:
-    return Detector("bank_account", "BANK_ACCOUNT", 0.85, scan=scanners.bank_account, hint=r"[0-9]{20}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}")
+    return Detector("bank_account", "BANK_ACCOUNT", 0.85, scan=scanners.bank_account, hint=CYRILLIC)
 
 
 def date_of_birth() -> Detector:
-    months = "|".join(scanners.MONTHS)
-    return Detector("date_of_birth", "DATE_OF_BIRTH", 0.84, scan=scanners.date_of_birth, hint=rf"(?iu)[0-9][./][0-9]{{2}}[./][0-9]{{4}}|(?:{months})")
+    return Detector("date_of_birth", "DATE_OF_BIRTH", 0.84, scan=scanners.date_of_birth, hint=CYRILLIC)
 
 
 def jwt() -> Detector:
@@ -162,7 +131,7 @@ def jwt() -> Detector:
 
 
 def private_key() -> Detector:
-    return Detector("secret_private_key", "SECRET_PRIVATE_KEY", 0.95, scan=scanners.private_key, hint="-----BEGIN [A-Z ]*PRIVATE KEY")
+    return Detector("secret_private_key", "SECRET_PRIVATE_KEY", 0.95, scan=scanners.private_key, hint="-----BEGIN ")
 
 
 def api_key() -> Detector:
@@ -170,7 +139,7 @@ def api_key() -> Detector:
 
 
 def dsn() -> Detector:
-    return Detector("secret_dsn", "CONNECTION_STRING", 0.93, scan=scanners.dsn, hint="(?:postgres|postgresql|mysql|mongodb|srv|redis|rediss|amqp|amqps)://")
+    return Detector("secret_dsn", "CONNECTION_STRING", 0.93, scan=scanners.dsn, hint="://")
 
 
 def builtin() -> list[Detector]:
@@ -182,14 +151,16 @@ def regexp(name: str, entity: str, pattern: str, confidence: float = 0.5) -> Det
     """A pattern of the caller's, in Java syntax; matches of nothing are dropped."""
     if not pattern:
         raise ConfigError("pattern")
-    plain = re.sub(r"([*+?}])\+", r"\1", re.sub(r"\\[pP]\{[^}]*\}", "x", pattern))  # what only Java knows
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ConfigError("a pattern needs a running session, whose Java reads it")
     try:
-        empty = re.compile(plain).fullmatch("")
-    except re.error as e:
+        empty = spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").matches()
+    except (Py4JJavaError, PySparkException) as e:
         raise ConfigError("pattern") from e
     if empty:
         raise ConfigError("pattern matches the empty text")
-    return Detector(name, entity, confidence, spans=lambda text: sp.find_spans(text, pattern), hint=pattern)
+    return Detector(name, entity, confidence, spans=lambda text: sp.find_spans(text, pattern), hint=pattern, sure=True)
 
 
 def function(name: str, entity: str, scan: Callable[[str], list[tuple[int, int]]], confidence: float = 0.5) -> Detector:
@@ -206,17 +177,20 @@ def byte_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int
 def scanning(detectors: list[tuple[int, Detector]]) -> Callable:
     """One Arrow function for all scanning detectors: struct of raw findings, and the first failing detector's number and field.
 
-    All or nothing: a row with a failure has no findings.
+    `asked` has a bit for each of the detectors, in order; those that a row's hints rule out don't run on it. All or
+    nothing: a row with a failure has no findings.
     """
     kind = f"struct<found:{RAW},failed:int,field:string>"
 
     @F.pandas_udf(kind)
-    def scan_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+    def scan_all(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, asked in batches:
             found, failed, field = [], [], []
-            for text in texts:
+            for text, bits in zip(texts, asked.tolist(), strict=True):
                 row, bad, what = [], None, None
-                for reg, d in detectors if text is not None else ():
+                for k, (reg, d) in enumerate(detectors if text is not None and bits else ()):
+                    if not bits >> k & 1:
+                        continue
                     try:
                         spans = list(d.scan(text))
                         if any(not (isinstance(a, int) and isinstance(b, int) and 0 <= a < b <= len(text)) for a, b in spans):

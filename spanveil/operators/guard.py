@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import secrets
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from . import masking
 from .detectors import ENTITIES, FINDING, RAW, SECRETS, Detector, builtin, scanning
 from .errors import ConfigError
-from .resolve import bucket, ordered, resolve
+from .resolve import bucket, ordered, resolve, span_error
 
 ALLOW, MASK, BLOCK = "allow", "mask", "block"
 ACTIONS = (ALLOW, MASK, BLOCK)
@@ -85,10 +86,9 @@ class Guard:
         natives = [(i, d) for i, d in enumerate(self.detectors) if d.spans]
         held = df
         if scans:
-            hints = [d.hint for _, d in scans]
-            worth = F.lit(True) if any(h is None for h in hints) else _any(text, hints)
-            # rows without any hint reach Python as nulls
-            held = held.withColumn("_sv_scanned", scanning(scans)(F.when(valid & worth, text)))
+            # a bit for each scan whose hint a row has; rows without any reach Python as nulls
+            held = held.withColumn("_sv_asked", F.when(valid & text.isNotNull(), asked(text, [d.hint for _, d in scans])).otherwise(0))
+            held = held.withColumn("_sv_scanned", scanning(scans)(F.when(F.col("_sv_asked") > 0, text), F.col("_sv_asked")))
         parts = [F.coalesce(F.col("_sv_scanned.found"), empty)] if scans else []
         for i, d in natives:
             own = F.transform(d.spans(text), _raw(i))
@@ -100,6 +100,14 @@ class Guard:
             lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), self._finding(r)["entity"].alias("entity"), self._finding(r)["detector"].alias("detector"), (-self._finding(r)["confidence"]).alias("c"), r["reg"].alias("reg"), r["local"].alias("local")),
         )
         failed = F.col("_sv_scanned.failed") if scans else F.lit(None).cast("int")
+        field = F.col("_sv_scanned.field") if scans else F.lit(None).cast("string")
+        doubted = [(i, d) for i, d in natives if not d.sure]
+        if doubted:  # the first detector that fails is named
+            raw = text.cast("binary")
+            wrong = lambda i: F.array_compact(F.transform(F.filter("_sv_found", lambda r: r["reg"] == i), lambda r: span_error(r, raw)))
+            marks = F.array(*(F.struct(F.lit(i).alias("reg"), F.get(wrong(i), F.lit(0)).alias("field")) for i, _ in doubted), *([F.struct(F.col("_sv_scanned.failed").alias("reg"), F.col("_sv_scanned.field").alias("field"))] if scans else []))
+            held = held.withColumn("_sv_wrong", F.get(F.array_sort(F.filter(marks, lambda m: m["field"].isNotNull())), F.lit(0)))
+            failed, field = F.col("_sv_wrong.reg"), F.col("_sv_wrong.field")
         names = F.array(*(F.lit(d.name) for d in self.detectors)) if self.detectors else F.array(F.lit(""))
         findings = F.transform(
             F.array_sort(keyed), lambda k: F.struct(k["entity"].alias("entity"), k["start"].alias("start"), k["end"].alias("end"), (-k["c"]).alias("confidence"), k["detector"].alias("detector"))
@@ -110,7 +118,7 @@ class Guard:
             F.when((F.col("_sv_status") == OK) & (F.size("_sv_found") > 0), findings).otherwise(F.array().cast(NONE)).alias("findings"),
             F.col("_sv_status").alias("status"),
             F.get(names, failed).alias("error_detector"),
-            (F.col("_sv_scanned.field") if scans else F.lit(None).cast("string")).alias("error_field"),
+            field.alias("error_field"),
         )
         return held.withColumn(into, once(out)).select(*(F.col(c) for c in df.columns if c != into), into)
 
@@ -151,23 +159,38 @@ def _raw(reg: int):
     return lambda s, k: F.struct(F.lit(reg).alias("reg"), k.alias("local"), s["start"].alias("start"), s["end"].alias("end"))
 
 
-def _any(text: Column, hints: list[str]) -> Column:
-    out = F.lit(False)
-    for h in hints:
-        out = out | (F.contains(text, F.lit(h)) if h.isalnum() or h in ("@", "://") else text.rlike(h))
+def asked(text: Column, hints: list[str | None]) -> Column:
+    """A bit for each hint that a text has; no hint is always had. Equal hints are looked for once, words by a plain search."""
+    out = F.lit(0)
+    for h in dict.fromkeys(hints):
+        bits = sum(1 << k for k, x in enumerate(hints) if x == h)
+        words = None if h is None else h.split("|")
+        if h is None:
+            out = out + F.lit(bits)
+            continue
+        has = _any_word(text, words) if all(re.fullmatch(r"[\w@:/ -]+", w) for w in words) else text.rlike(h)
+        out = out + F.when(has, F.lit(bits)).otherwise(F.lit(0))
     return out
 
 
+def _any_word(text: Column, words: list[str]) -> Column:
+    found = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(text, F.lit(w))
+    return found
+
+
 def restore(df: DataFrame, response_col: str, tokens_col: str, into: str = "restored") -> DataFrame:
     """`df` and struct `into`: text, misses, status. A null token set, or a response that isn't UTF-8, is an error with null text."""
     held = df.withColumns({"_sv_response": F.col(response_col), "_sv_tokens": F.col(tokens_col)})
     text, tokens = F.col("_sv_response"), F.col("_sv_tokens")
-    held = held.withColumn("_sv_misses", masking.misses(text, F.coalesce(tokens, F.array().cast(masking.TOKENS))))
+    held = held.withColumn("_sv_hits", masking.hits_of(text, F.coalesce(tokens, F.array().cast(masking.TOKENS))))
+    held = held.withColumn("_sv_misses", masking.misses(F.col("_sv_hits")))
     status = F.when(tokens.isNull(), NO_TOKENS).when(~F.coalesce(F.is_valid_utf8(text), F.lit(True)), INVALID_TEXT).when(F.col("_sv_misses") > 0, RESTORE_MISS).otherwise(OK)
     held = held.withColumn("_sv_status", status)
     good = F.col("_sv_status").isin(OK, RESTORE_MISS)
-    out = F.struct(F.when(good, masking.restored(text, tokens)).alias("text"), F.when(good, F.col("_sv_misses")).alias("misses"), F.col("_sv_status").alias("status"))
-    return held.withColumn(into, once(out)).drop("_sv_response", "_sv_tokens", "_sv_misses", "_sv_status")
+    out = F.struct(F.when(good, masking.restored(text, tokens, F.col("_sv_hits"))).alias("text"), F.when(good, F.col("_sv_misses")).alias("misses"), F.col("_sv_status").alias("status"))
+    return held.withColumn(into, once(out)).drop("_sv_response", "_sv_tokens", "_sv_hits", "_sv_misses", "_sv_status")
 
 
 def entity_counts(findings: Column) -> Column:

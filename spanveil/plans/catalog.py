@@ -13,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
+from ..functions.scanners import INN_11, INN_12
 from ..operators import detectors as d
 from ..operators.guard import BLOCK, Guard, restore
-from ..operators.observe import mask_events, totals
+from ..operators.masking import placeholders
+from ..operators.observe import detect_events, mask_events, restore_events, totals
+from ..operators.resolve import resolve_checked
+from ..sources import suites
 from ..streaming.pipelines import windowed_findings
 from . import evaluation as ev
+from .mapping import Mapping
+from .mapping import map_labels as label_annotations
 
 KEY = "masking key of the test queries"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,7 +134,7 @@ def resolve_all(spark, sf_dir):
 
 MASKED_SQL = f"""{RANKED_SQL},
     n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY span_start) AS k, coalesce(lag(pos + length(v)) OVER (PARTITION BY doc_id ORDER BY span_start), 0) AS before FROM r),
-    t AS (SELECT n.*, documents.text, '{{{{LLMG_' || left(sha256('{KEY}|' || doc_id || '|0'), 32) || '_' || lpad(k::VARCHAR, 4, '0') || '}}}}' AS token FROM n JOIN documents USING (doc_id)),
+    t AS (SELECT n.*, documents.text, '{{{{LLMG_' || left(sha256('{KEY}|' || doc_id || '|' || sha256(documents.text) || '|0'), 32) || '_' || lpad(k::VARCHAR, 4, '0') || '}}}}' AS token FROM n JOIN documents USING (doc_id)),
     m AS (SELECT doc_id, string_agg(substr(text, before + 1, pos - before) || token, '' ORDER BY k) || substr(any_value(text), max(pos + length(v)) + 1) AS masked, count(*) AS n_tokens FROM t GROUP BY doc_id)"""
 
 
@@ -172,13 +178,56 @@ def entity_counts_by_lang(spark, sf_dir):
 
 @query(
     "mask_event_totals",
-    f"{RANKED_SQL} SELECT 'mask' AS operation, 'success' AS outcome, (SELECT count(*) FROM documents) AS calls, (SELECT count(*) FROM r) AS findings, (SELECT sum(strlen(text)) FROM documents)::BIGINT AS input_bytes",
+    f"{RANKED_SQL} SELECT 'mask' AS operation, 'success' AS outcome, (SELECT count(*) FROM documents) AS calls, (SELECT count(*) FROM r) AS findings, 0::BIGINT AS restore_misses, (SELECT sum(strlen(text)) FROM documents)::BIGINT AS input_bytes",
 )
 def mask_event_totals(spark, sf_dir):
     guard = Guard.full(key=KEY)
     return totals(mask_events(guard, guard.mask(table(spark, sf_dir, "documents"), "doc_id")))
 
 
+@query(
+    "event_totals",
+    f"""WITH x AS (SELECT doc_id, span_end - span_start AS n FROM ({FOUND_SQL["EMAIL"]})), d AS (SELECT count(*) AS calls, sum(strlen(text)) AS b FROM documents)
+    SELECT operation, 'success' AS outcome, calls, CASE operation WHEN 'restore' THEN 0 ELSE (SELECT count(*) FROM x) END::BIGINT AS findings, 0::BIGINT AS restore_misses,
+           (b + CASE operation WHEN 'restore' THEN (SELECT coalesce(sum(46 - n), 0) FROM x) ELSE 0 END)::BIGINT AS input_bytes
+    FROM d, (VALUES ('detect'), ('mask'), ('restore')) o(operation)""",
+)
+def event_totals(spark, sf_dir):
+    guard, docs = Guard((d.email(),), key=KEY), table(spark, sf_dir, "documents").select("doc_id", "text")
+    masked = guard.mask(docs, "doc_id")
+    back = restore(masked.select(F.col("masked.text").alias("response"), F.col("masked.tokens").alias("tokens")), "response", "tokens")
+    return totals(detect_events(guard.detect(docs)).unionByName(mask_events(guard, masked)).unionByName(restore_events(back, "response")))
+
+
+@query("action_counts", f"{RANKED_SQL} SELECT CASE entity WHEN 'PHONE' THEN 'allow' ELSE 'mask' END AS action, count(*) AS findings FROM r GROUP BY ALL")
+def action_counts_(spark, sf_dir):
+    guard = Guard.full(key=KEY, entity_actions={"PHONE": "allow"})
+    events = mask_events(guard, guard.mask(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+    return events.select(F.explode("action_counts").alias("a")).groupBy("a.action").agg(F.sum("a.count").alias("findings"))
+
+
+@query("placeholders_distinct", "SELECT conv_id, turn, (1 + turn % 2)::INT AS tokens, (turn % 2 = 1) AS second_is_last FROM conversations")
+def placeholders_distinct(spark, sf_dir):
+    a, b = ("{{LLMG_" + c * 32 + "_0001}}" for c in "ab")
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(a), "text", F.expr(f"if(turn % 2 = 1, '{b}', '')"), F.lit(a)).alias("response"))
+    found = talk.select("conv_id", "turn", placeholders(F.col("response")).alias("p"))
+    return found.select("conv_id", "turn", F.size("p").alias("tokens"), (F.element_at("p", -1) == b).alias("second_is_last"))
+
+
+@query(
+    "finding_errors",
+    """SELECT c_custkey, CASE c_custkey % 7 WHEN 1 THEN 'entity' WHEN 2 THEN 'confidence' WHEN 3 THEN 'span' WHEN 4 THEN 'utf8_boundary' WHEN 5 THEN 'detector' END AS error,
+              CASE WHEN c_custkey % 7 IN (0, 6) THEN 1 ELSE 0 END::INT AS resolved FROM customer""",
+)
+def finding_errors(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('яя ', cast(c_custkey as string)) as text", "c_custkey % 7 as k")
+    case = lambda at, bad, good: F.when(F.col("k") == at, F.lit(bad)).otherwise(F.lit(good))
+    own = F.struct(case(1, " ", "OWN").alias("entity"), F.lit(0).alias("start"), F.when(F.col("k") == 3, 99).when(F.col("k") == 4, 1).otherwise(2).alias("end"), case(2, 1.5, 0.5).alias("confidence"), case(5, None, "d").alias("detector"))
+    wide = F.struct(F.lit("OWN").alias("entity"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit(0.5).alias("confidence"), F.lit("d").alias("detector"))
+    checked = rows.select("c_custkey", resolve_checked(F.array(wide, own), F.col("text")).alias("r"))
+    return checked.select("c_custkey", F.col("r.error").alias("error"), F.size("r.findings").alias("resolved"))
+
+
 # families by construction -----------------------------------------------------------------------------------------
 
 def dig(s: str, i: int) -> str:
@@ -190,6 +239,11 @@ def weigh(s: str, weights) -> str:
 
 
 NINE = "lpad(cast(c_custkey * 7919 + 100000000 as string), 9, '0')"
+TEN = f"{NINE} || cast(c_custkey % 10 as string)"
+ELEVENTH = f"cast({weigh(f'({TEN})', INN_11)} % 11 % 10 as string)"
+TWELFTH = f"cast({weigh(f'({TEN} || {ELEVENTH})', INN_12)} % 11 % 10 as string)"
+#: What the check of an account and a bank code sums, with 0 for the account's own check digit.
+CODED = f"('225' || '40702810' || '0' || '00' || {NINE})"
 #: family: detector, columns to prepare (both engines), text before, value, text after, whether the value is a finding.
 BUILT = {
     "inn": (d.inn, "INN", "клиент ИНН ", f"{NINE} || cast(({weigh(NINE, (2, 4, 10, 3, 5, 9, 4, 6, 8))} % 11 % 10 + c_custkey % 3) % 10 as string)", " активен", "c_custkey % 3 = 0"),
@@ -215,6 +269,26 @@ BUILT = {
     "api_key": (d.api_key, "SECRET_API_KEY", "key=", "'ghp_' || lpad(cast(c_custkey as string), cast(36 - c_custkey % 3 as int), 'A')", " ", "c_custkey % 3 = 0"),
     "private_key": (d.private_key, "SECRET_PRIVATE_KEY", "", "'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || lpad(cast(c_custkey as string), 8, 'A') || chr(10) || '-----END ' || case when c_custkey % 3 = 0 then 'EC' else 'RSA' end || ' PRIVATE KEY-----'", "", "c_custkey % 3 <> 0"),
     "dsn": (d.dsn, "CONNECTION_STRING", "(", "'postgres://u' || cast(c_custkey as string) || case when c_custkey % 3 = 0 then '' else ':p' end || '@[::1]:5432/db'", ").", "c_custkey % 3 <> 0"),
+    "inn_12": (d.inn, "INN", "ИНН ", f"{TEN} || {ELEVENTH} || cast((cast({TWELFTH} as int) + c_custkey % 2) % 10 as string)", "", "c_custkey % 2 = 0"),
+    "snils_compact": (d.snils, "SNILS", "снилс ", f"{NINE} || lpad(cast(({weigh(NINE, range(9, 0, -1))} % 101 % 100 + c_custkey % 2) % 100 as string), 2, '0')", ".", "c_custkey % 2 = 0"),
+    "bank_account_code": (d.bank_account, "BANK_ACCOUNT", "БИК 044525225, расчётный счёт ", f"'40702810' || cast(((10 - {weigh(CODED, (7, 1, 3) * 7 + (7, 1))} % 10) * 7 + c_custkey % 3) % 10 as string) || '00' || {NINE}", " ок", "c_custkey % 3 = 0"),
+    "person_shapes": (
+        d.person,
+        "PERSON",
+        "Договор: ",
+        "case c_custkey % 7 when 0 then 'Иван Сергеевич Петров' when 1 then 'Петров Иван Сергеевич' when 2 then 'Петров И. С.' when 3 then 'И. С. Петров' when 4 then 'Мария Иванова' when 5 then 'Иванова Мария' else 'Мария Петров' end",
+        " и др",
+        "c_custkey % 7 <> 6",
+    ),
+    "address_parts": (
+        d.address,
+        "ADDRESS",
+        "Адрес: ",
+        "case c_custkey % 5 when 0 then 'ул. Ленина, д. 7, корп. 2, стр. 1, кв. ' when 1 then 'г. Москва, ул. Тверская, д. ' when 2 then 'проспект Мира, ' when 3 then 'Невский проспект, дом ' else 'ул. Ленина,, ' end || cast(c_custkey % 90 + 1 as string)",
+        " указан",
+        "c_custkey % 5 <> 4",
+    ),
+    "ip_v6_mixed": (d.ip, "IP_ADDRESS", "at ", "case c_custkey % 3 when 0 then '2001:db8::192.0.2.' || cast(c_custkey % 200 as string) when 1 then '::1' else 'fe80::1%eth0' end", " ok", "c_custkey % 3 <> 2"),
     "person": (d.person, "PERSON", "Договор: ", "case c_custkey % 4 when 0 then 'иван петров' when 1 then 'Петров И. С.' when 2 then 'Мария Иванова' else 'Ивану Сергеевичу Петрову' end", " и др", "c_custkey % 4 <> 0"),
     "address": (d.address, "ADDRESS", "Адрес: ", "'ул. Ленина, д. ' || cast(c_custkey % 200 + 1 as string) || case when c_custkey % 3 = 0 then 'АБ' else ', кв. 7' end", " указан", "c_custkey % 3 <> 0"),
     "ip_v6": (d.ip, "IP_ADDRESS", "from [", "case when c_custkey % 3 = 0 then '2001:zz' else '2001:db8::' || cast(c_custkey % 9999 as string) end", "]:443", "c_custkey % 3 <> 0"),
@@ -290,15 +364,78 @@ def eval_contract(spark, sf_dir):
 
 @query(
     "eval_exposure",
-    f"""WITH x AS (SELECT doc_id, span_start AS s, span_end AS e FROM ({ALL_SQL})), n AS (SELECT doc_id, least(strlen(text), 400) AS n FROM documents),
-    m AS (SELECT doc_id, sum(e - s) AS total, sum(greatest(0, least(e, n) - s)) AS covered FROM x JOIN n USING (doc_id) GROUP BY doc_id)
-    SELECT doc_id, n::INT AS sensitive, coalesce(covered, 0)::INT AS covered, (n - coalesce(covered, 0))::INT AS leaked, coalesce(total - covered, 0)::INT AS overmatched FROM n LEFT JOIN m USING (doc_id)""",
+    f"""WITH x AS (SELECT doc_id, span_start AS s, span_end AS e FROM ({ALL_SQL})), n AS (SELECT doc_id, strlen(text) AS n, strlen(text) // 2 AS h FROM documents),
+    m AS (SELECT doc_id, sum(e - s) AS total, sum(greatest(0, e - greatest(s, h))) AS covered FROM x JOIN n USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, (n - h)::INT AS sensitive, coalesce(covered, 0)::INT AS covered, (n - h - coalesce(covered, 0))::INT AS leaked, coalesce(total - covered, 0)::INT AS overmatched FROM n LEFT JOIN m USING (doc_id)""",
 )
 def eval_exposure(spark, sf_dir):
+    return ev.exposure(_half_sensitive(spark, sf_dir)).select("doc_id", "sensitive", "covered", "leaked", "overmatched")
+
+
+def _half_sensitive(spark, sf_dir):
+    """Documents with what was found, and the second half of each text's bytes as a person."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    seen = Guard.full(key=KEY).detect(docs).select("doc_id", F.least(F.octet_length("text"), F.lit(400)).alias("n"), F.col("detected.findings").alias("findings"))
-    gold = F.array(F.struct(F.lit("first").alias("source_label"), F.lit("PERSON").alias("mapped_entity"), F.lit(0).alias("start"), F.col("n").alias("end"), F.lit("supported").alias("disposition"), F.lit("").alias("reason")))
-    return ev.exposure(seen.withColumn("annotations", gold)).select("doc_id", "sensitive", "covered", "leaked", "overmatched")
+    size = F.octet_length("text")
+    seen = Guard.full(key=KEY).detect(docs).select("doc_id", F.floor(size / 2).cast("int").alias("h"), size.alias("n"), F.col("detected.findings").alias("findings"))
+    gold = F.array(F.struct(F.lit("half").alias("source_label"), F.lit("PERSON").alias("mapped_entity"), F.col("h").alias("start"), F.col("n").alias("end"), F.lit("supported").alias("disposition"), F.lit("").alias("reason")))
+    return seen.withColumn("annotations", gold)
+
+
+@query(
+    "eval_by_label",
+    f"""WITH x AS (SELECT doc_id, entity, span_start AS s, span_end AS e FROM ({ALL_SQL})), n AS (SELECT doc_id, strlen(text) AS n, strlen(text) // 2 AS h FROM documents),
+    y AS (SELECT *, greatest(0, e - greatest(s, h)) AS inside FROM x JOIN n USING (doc_id)), o AS (SELECT entity, sum(e - s - inside) AS o FROM y GROUP BY entity)
+    SELECT 'half' AS source_label, 'PERSON' AS mapped_entity, 'supported' AS disposition, (SELECT count(*) FROM n) AS span_count, 0::BIGINT AS fully_covered_span_count,
+           (SELECT sum(n - h) FROM n)::BIGINT AS sensitive, (SELECT sum(inside) FROM y)::BIGINT AS covered, ((SELECT sum(n - h) FROM n) - (SELECT sum(inside) FROM y))::BIGINT AS leaked, 0::BIGINT AS overmatched
+    UNION ALL SELECT '', entity, '', 0, 0, 0, 0, 0, o::BIGINT FROM o WHERE o > 0""",
+)
+def eval_by_label(spark, sf_dir):
+    return ev.exposure_by_label(_half_sensitive(spark, sf_dir), "doc_id")
+
+
+KINDS_SQL = f"""WITH g AS (SELECT DISTINCT * FROM ({GOLD_SQL})), f AS (SELECT DISTINCT doc_id, entity, span_start, span_end FROM ({ALL_SQL})),
+    k AS (SELECT coalesce(g.doc_id, f.doc_id) AS doc_id, coalesce(g.entity, f.entity) AS entity, coalesce(g.span_start, f.span_start) AS a, coalesce(g.span_end, f.span_end) AS b, g.doc_id IS NOT NULL AS gold, f.doc_id IS NOT NULL AS found
+          FROM g FULL JOIN f ON g.doc_id = f.doc_id AND g.entity = f.entity AND g.span_start = f.span_start AND g.span_end = f.span_end)"""
+
+
+@query(
+    "eval_diagnostics",
+    f"""{KINDS_SQL} SELECT doc_id, entity, CASE WHEN gold THEN 'fn' ELSE 'fp' END AS kind, CASE WHEN gold THEN a END AS gold_start, CASE WHEN gold THEN b END AS gold_end,
+        CASE WHEN found THEN a END AS found_start, CASE WHEN found THEN b END AS found_end FROM k WHERE NOT (gold AND found)""",
+)
+def eval_diagnostics(spark, sf_dir):
+    return ev.diagnostics(*_gold_and_found(spark, sf_dir)).withColumnRenamed("record", "doc_id")
+
+
+@query("eval_by_source", f"{KINDS_SQL} SELECT source, count(*) FILTER (gold AND found) AS tp, count(*) FILTER (found AND NOT gold) AS fp, count(*) FILTER (gold AND NOT found) AS fn FROM k JOIN documents USING (doc_id) GROUP BY source")
+def eval_by_source(spark, sf_dir):
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record"), "source")
+    return ev.contract(*_gold_and_found(spark, sf_dir), sources).where("level = 'source'").select("source", "tp", "fp", "fn")
+
+
+@query(
+    "suite_rows_strict",
+    """SELECT c_custkey::VARCHAR AS record, CASE c_custkey % 5 WHEN 1 THEN 'not a JSON object' WHEN 2 THEN 'unknown field' WHEN 3 THEN 'input_sha256 mismatch' WHEN 4 THEN 'unsupported schema_version' END AS error FROM customer""",
+)
+def suite_rows_strict(spark, sf_dir):
+    line = """concat('{"schema_version":', if(c_custkey % 5 = 4, 3, 2), ',"suite_id":"s","source_id":"x","source_record_id":"', c_custkey, '","mapping_version":"1","input":"t', c_custkey,
+        '","input_sha256":"', if(c_custkey % 5 = 3, '0', sha2(concat('t', c_custkey), 256)), '","annotations":[]', if(c_custkey % 5 = 2, ',"more":1', ''), '}', if(c_custkey % 5 = 1, if(c_custkey % 2 = 0, '{"x":1}', ' {}'), ''))"""
+    return suites.suite_rows(table(spark, sf_dir, "customer").select(F.expr(line).alias("line"))).select(F.col("source_record_id").alias("record"), "error")
+
+
+@query(
+    "map_labels",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'PERSON' WHEN c_custkey % 3 = 1 THEN 'ADDRESS' ELSE 'EMAIL' END AS entity, (p + CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 12 ELSE 22 END)::INT AS span_start,
+              (p + CASE c_custkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 21 ELSE 28 END)::INT AS span_end, CASE c_custkey % 3 WHEN 2 THEN 0 ELSE 2 END::INT AS parts FROM (SELECT c_custkey, strlen(c_custkey::VARCHAR) + 1 AS p FROM customer)""",
+)
+def map_labels(spark, sf_dir):
+    own = Mapping("1", "s", {"MAIL": "EMAIL"}, ("FIRST_NAME", "LAST_NAME"), 2, ("STREET", "HOUSE"))
+    span = lambda label, a, b: f"named_struct('label', '{label}', 'start', p + {a}, 'end', p + {b})"
+    spans = f"case c_custkey % 3 when 0 then array({span('B-FIRST_NAME', 0, 4)}, {span('I-LAST_NAME', 5, 10)}) when 1 then array({span('STREET', 12, 18)}, {span('HOUSE', 20, 21)}) else array({span('MAIL', 22, 28)}) end"
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "length(cast(c_custkey as string)) + 1 as p", "concat(c_custkey, ' Anna Smith, Elm St, 5 a@b.co') as text").withColumn("spans", F.expr(spans))
+    notes = label_annotations(rows, own).select("c_custkey", "annotations")
+    whole = F.get(F.filter("annotations", lambda a: a["disposition"] == "supported"), F.lit(0))
+    return notes.select("c_custkey", whole["mapped_entity"].alias("entity"), whole["start"].alias("span_start"), whole["end"].alias("span_end"), F.size(F.filter("annotations", lambda a: a["disposition"] == "unsupported")).alias("parts"))
 
 
 @query(

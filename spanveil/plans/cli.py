@@ -1,4 +1,4 @@
-"""python -m spanveil.plans.cli: scores a suite. Exit 0: fine; 1: a gate failed or the first version regressed; 2: bad use."""
+"""python -m spanveil.plans.cli: scores a suite. Exit 0: fine; 1: a gate failed, or it regressed and --fail-on-regression is set; 2: bad use."""
 
 from __future__ import annotations
 
@@ -7,54 +7,21 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.errors import GuardError
 from ..operators.guard import Guard
-from ..operators.resolve import resolve
 from ..sources import suites
-from . import evaluation as ev
-from . import gates
+from . import gates, reports
 
 KEY = "evaluation"
 
 
-def run_cases(spark: SparkSession, path: str, guard: Guard) -> tuple[list[dict], bool]:
-    """The first-version rows, and whether anything was missed or found wrongly."""
-    cases = suites.load_cases(spark, path)
-    gold = cases.select(F.col("id").alias("record"), F.explode("expected").alias("s")).select("record", "s.*")
-    found = guard.findings_table(cases.select(F.col("id").alias("record"), F.col("input").alias("text")), ["record"], resolved=True)
-    rows = [r.asDict() for r in ev.by_entity(gold, found, cases.select(F.col("id").alias("record"))).collect()]
-    return rows, any(r["fp"] or r["fn"] for r in rows)
-
-
-def run_profile(spark: SparkSession, path: str, profile: str, guard: Guard, thresholds: gates.Thresholds | None) -> tuple[list[dict], dict, str]:
-    """Rows, total and status of a suite under a profile."""
-    suite = suites.load_suite(spark, path)
-    if profile == "lifecycle":
-        rows = ev.lifecycle(suite, guard, "source_record_id")
-        counted = [r.asDict() for r in ev.lifecycle_summary(rows).collect()]
-        total = {"fn": sum(r["diagnostics"] for r in counted), "fp": sum(r["count"] for r in counted if r["outcome"] == "error")}
-        return counted, total, gates.decide(thresholds, profile, total)
-    if profile == "exposure":
-        seen = guard.detect(suite, "input").withColumn("findings", resolve(F.col("detected.findings")))
-        rows = ev.exposure(seen)
-        by_source = [r.asDict() for r in ev.exposure_summary(rows, ["source_id"]).orderBy("source_id").collect()]
-        total = ev.exposure_summary(rows).head().asDict()
-        return by_source, total, gates.decide(thresholds, profile, total, sources={r["source_id"]: r for r in by_source})
-    found = guard.findings_table(suite.select(F.col("source_record_id").alias("record"), F.col("input").alias("text")), ["record"], resolved=True)
-    sources = suite.select(F.col("source_record_id").alias("record"), F.col("source_id").alias("source"))
-    rows = [r.asDict() for r in ev.contract(suites.gold_spans(suite), found, sources, suites.scope_of(suite)).orderBy("level", "entity", "source").collect()]
-    total = next((r for r in rows if r["level"] == "total"), {})
-    level = lambda k: {r[k]: r for r in rows if r["level"] == k}
-    return rows, total, gates.decide(thresholds, profile, total, level("entity"), level("source"))
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     parser = argparse.ArgumentParser(prog="spanveil-eval")
     parser.add_argument("suite")
     parser.add_argument("--profile", choices=["v1", "contract", "exposure", "lifecycle"], default="v1")
     parser.add_argument("--thresholds")
+    parser.add_argument("--fail-on-regression", action="store_true")
     parser.add_argument("--format", choices=["markdown", "json"], default="markdown")
     try:
         args = parser.parse_args(argv)
@@ -64,20 +31,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     guard = Guard.full(key=KEY)
     try:
         if args.profile == "v1":
-            rows, bad = run_cases(spark, args.suite, guard)
-            total, status = {k: sum(r[k] for r in rows) for k in ("tp", "fp", "fn")}, gates.FAIL if bad else gates.PASS
+            report = reports.cases_report(suites.load_cases(spark, args.suite), guard)
         else:
             limits = gates.Thresholds.of(Path(args.thresholds).read_text()) if args.thresholds else None
-            rows, total, status = run_profile(spark, args.suite, args.profile, guard, limits)
+            report = reports.REPORTS[args.profile](suites.load_suite(spark, args.suite), guard, limits)
     except GuardError as e:
         print(e, file=sys.stderr)
         return 2
-    if args.format == "json":
-        out.write(gates.as_json(profile=args.profile, rows=rows, total=total, status=status))
-    else:
-        columns = list(rows[0]) if rows else []
-        out.write(gates.markdown(f"Evaluation: {args.profile}", columns, rows, [f"Total: {total}", "", f"Status: {status}"]))
-    return int(status == gates.FAIL)
+    out.write(reports.as_json(report) if args.format == "json" else reports.markdown(report))
+    return int(args.thresholds is not None and report["status"] == gates.FAIL or args.fail_on_regression and reports.regressed(report))
 
 
 if __name__ == "__main__":

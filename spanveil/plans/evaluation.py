@@ -9,7 +9,7 @@ from ..functions import intervals as iv
 from ..operators import guard as gd
 from ..operators import masking
 from ..operators.detectors import ENTITIES, FINDING, SECRETS
-from ..operators.guard import Guard, restore
+from ..operators.guard import Guard, once, restore
 
 SPAN = ["entity", "start", "end"]
 ANNOTATION = "struct<source_label:string,mapped_entity:string,start:int,end:int,disposition:string,reason:string>"
@@ -26,6 +26,17 @@ def rates(df: DataFrame) -> DataFrame:
     return df.withColumn("precision", p).withColumn("recall", r).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def rates_of(tp: int, fp: int, fn: int) -> tuple[float, float, float]:
+    """precision, recall and F1 of plain counts."""
+    p, r = tp / (tp + fp) if tp + fp else 0.0, tp / (tp + fn) if tp + fn else 0.0
+    return p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+
+def error_rates(df: DataFrame) -> DataFrame:
+    """fpr: share of the negative cases with a false positive; fnr: share of the gold that was missed."""
+    return df.withColumn("fpr", ratio(F.col("false_positive_cases"), F.col("negative_cases"))).withColumn("fnr", ratio(F.col("fn"), F.col("tp") + F.col("fn")))
+
+
 def matches(gold: DataFrame, found: DataFrame, record: str = "record") -> DataFrame:
     """record, entity, start, end and kind (tp, fp, fn); doubles on either side count once."""
     keys = [record, *SPAN]
@@ -64,7 +75,54 @@ def by_entity(gold: DataFrame, found: DataFrame, records: DataFrame, record: str
     out = dim.join(counts, "entity", "left").join(held, "entity", "left").join(wrong, "entity", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     out = out.select("entity", "place", zero("tp"), zero("fp"), zero("fn"), (F.lit(n) - F.coalesce("with_gold", F.lit(0))).cast("long").alias("negative_cases"), zero("false_positive_cases"))
-    return rates(out).orderBy("place").drop("place")
+    return error_rates(rates(out)).orderBy("place").drop("place")
+
+
+def record_scopes(suite: DataFrame, record: str = "source_record_id") -> DataFrame:
+    """record, entity: what counts in each record. Its declared entities, else those of the suite: declared ones, else those of supported annotations."""
+    declared = suite.select(F.col(record).alias("record"), "declared_entities", F.coalesce(F.size("declared_entities") > 0, F.lit(False)).alias("own"))
+    named = suite.select(F.explode("annotations").alias("a")).where(F.col("a.disposition") == SUPPORTED).select(F.col("a.mapped_entity").alias("entity"))
+    whole = declared.where("own").select(F.explode("declared_entities").alias("entity"))
+    any_declared = whole.agg((F.count(F.lit(1)) > 0).alias("any_declared"))
+    general = whole.withColumn("d", F.lit(True)).unionByName(named.withColumn("d", F.lit(False))).distinct().crossJoin(F.broadcast(any_declared)).where("d = any_declared").select("entity")  # entities are few
+    own = declared.where("own").select("record", F.explode("declared_entities").alias("entity")).distinct()
+    rest = declared.where("not own").select("record").crossJoin(F.broadcast(general))
+    return own.unionByName(rest)
+
+
+def contract_suite(suite: DataFrame, found: DataFrame) -> dict[str, DataFrame]:
+    """The contract profile of a suite, each record within its own scope: tables `entities`, `sources`, `overlaps` and `failures`.
+
+    `found` has record, entity, start and end. A record is a negative case of each entity in its scope without gold.
+    """
+    scopes = record_scopes(suite)
+    notes = suite.select(F.col("source_record_id").alias("record"), F.explode("annotations").alias("a")).where(F.col("a.disposition") == SUPPORTED)
+    notes = notes.select("record", F.col("a.mapped_entity").alias("entity"), F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.col("a.source_label").alias("source_label"))
+    keys = ["record", "entity"]
+    gold, seen = notes.join(scopes, keys, "left_semi"), found.select("record", *SPAN).join(scopes, keys, "left_semi")
+    kinds = matches(gold, seen)
+    count = lambda k: F.coalesce(F.sum((F.col("kind") == k).cast("long")), F.lit(0)).alias(k)
+    counts = [count(k) for k in ("tp", "fp", "fn")]
+    per = kinds.groupBy(keys).agg(*counts, F.max(F.col("kind") != "fp").alias("has_gold"))
+    negative = ~F.coalesce("has_gold", F.lit(False))
+    zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    entities = scopes.join(per, keys, "left").groupBy("entity").agg(zero("tp"), zero("fp"), zero("fn"), F.count_if(negative).alias("negative_cases"), F.count_if(negative & (F.col("fp") > 0)).alias("false_positive_cases"))
+    sources = suite.select(F.col("source_record_id").alias("record"), "source_id").join(per, "record", "left").groupBy("source_id").agg(zero("tp"), zero("fp"), zero("fn"))
+    labels = gold.groupBy("record", *SPAN).agg(F.max("source_label").alias("source_label"))
+    digests = suite.select(F.col("source_record_id").alias("record"), "input_sha256")
+    fn = F.col("kind") == "fn"
+    failures = kinds.where("kind <> 'tp'").join(labels, ["record", *SPAN], "left").join(digests, "record")
+    failures = failures.select(
+        F.col("record").alias("source_record_id"), "source_label", "entity", "kind", F.when(fn, F.col("start")).alias("gold_start"), F.when(fn, F.col("end")).alias("gold_end"),
+        F.when(~fn, F.col("start")).alias("predicted_start"), F.when(~fn, F.col("end")).alias("predicted_end"), "input_sha256",
+    )
+    order = [F.col(c).asc_nulls_last() for c in ("gold_start", "gold_end", "predicted_start", "predicted_end", "source_label")]
+    return {
+        "entities": error_rates(rates(entities)).orderBy("entity"),
+        "sources": rates(sources).orderBy("source_id"),
+        "overlaps": overlapping_pairs(gold, seen),
+        "failures": failures.orderBy("source_record_id", "entity", "kind", *order),
+    }
 
 
 def overlapping_pairs(gold: DataFrame, found: DataFrame, record: str = "record") -> DataFrame:
@@ -104,14 +162,23 @@ def exposure_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def exposure_by_label(records: DataFrame, record: str, annotations: str = "annotations", findings: str = "findings") -> DataFrame:
-    """By label, entity and disposition: annotations, sensitive and covered bytes of each group's own union."""
+    """By label, entity and disposition: annotations, how many of them are wholly covered, and the bytes of each group's own union.
+
+    What a finding covers beyond all sensitive bytes is overmatched, and counts for an empty label and the finding's entity.
+    """
     rows = records.select(record, F.col(findings).alias("_f"), F.explode(annotations).alias("a")).where(F.col("a.disposition") != IGNORED)
     keys = [F.col("a.source_label").alias("source_label"), F.coalesce("a.mapped_entity", F.lit("")).alias("mapped_entity"), F.col("a.disposition").alias("disposition")]
-    groups = rows.groupBy(record, *keys).agg(F.collect_list(F.struct(F.col("a.start"), F.col("a.end"))).alias("spans"), F.first("_f").alias("_f"))
+    groups = rows.groupBy(record, *keys).agg(F.collect_list(F.struct(F.col("a.start").alias("start"), F.col("a.end").alias("end"))).alias("spans"), F.first("_f").alias("_f"))
     sized = groups.withColumn("_u", iv.merge(F.col("spans"))).withColumn("_m", iv.merge(F.col("_f")))
-    sized = sized.select("source_label", "mapped_entity", "disposition", F.size("spans").alias("n"), iv.total_bytes(F.col("_u")).alias("s"), iv.total_bytes(iv.intersection(F.col("_u"), F.col("_m"))).alias("c"))
-    out = sized.groupBy("source_label", "mapped_entity", "disposition").agg(F.sum("n").alias("span_count"), F.sum("s").alias("sensitive"), F.sum("c").alias("covered"))
-    return out.withColumn("leaked", F.col("sensitive") - F.col("covered")).orderBy("source_label", "mapped_entity", "disposition")
+    sized = sized.select("source_label", "mapped_entity", "disposition", F.size("spans").alias("n"), F.size(F.filter("spans", lambda s: iv.covered(s, F.col("_m")))).alias("f"), iv.total_bytes(F.col("_u")).alias("s"), iv.total_bytes(iv.intersection(F.col("_u"), F.col("_m"))).alias("c"))
+    out = sized.groupBy("source_label", "mapped_entity", "disposition").agg(*(F.sum(a).cast("long").alias(b) for a, b in (("n", "span_count"), ("f", "fully_covered_span_count"), ("s", "sensitive"), ("c", "covered"))))
+    out = out.withColumn("leaked", F.col("sensitive") - F.col("covered")).withColumn("overmatched", F.lit(0).cast("long"))
+    gold = F.filter(F.coalesce(annotations, F.array().cast(f"array<{ANNOTATION}>")), lambda a: a["disposition"] != IGNORED)
+    each = records.select(F.col(findings).alias("all"), iv.merge(gold).alias("g")).select(F.explode("all").alias("f"), "g").select("f.entity", iv.total_bytes(iv.difference(iv.merge(F.array("f")), F.col("g"))).alias("o"))
+    none = F.lit(0).cast("long")
+    over = each.groupBy("entity").agg(F.sum("o").cast("long").alias("overmatched")).where("overmatched > 0")
+    over = over.select(F.lit("").alias("source_label"), F.col("entity").alias("mapped_entity"), F.lit("").alias("disposition"), *(none.alias(c) for c in ("span_count", "fully_covered_span_count", "sensitive", "covered", "leaked")), "overmatched")
+    return out.unionByName(over).orderBy("source_label", "mapped_entity", "disposition")
 
 
 def ignored_counts(records: DataFrame, annotations: str = "annotations") -> DataFrame:
@@ -144,7 +211,7 @@ def answer(masked: Column, tokens: Column, recipe: Column) -> Column:
 
 
 def lifecycle(records: DataFrame, guard: Guard, row_key: str, text_col: str = "input") -> DataFrame:
-    """row_key, action, recipe, outcome (ok, blocked, mutation_miss, restore_miss, error, skipped) and reason, row by row.
+    """row_key, action, recipe, outcome (ok, blocked, mutation_miss, restore_miss, error, skipped), reason and the input's SHA-256, row by row.
 
     `records` has annotations and may have lifecycle<expected_action, response_recipe>.
     """
@@ -155,6 +222,8 @@ def lifecycle(records: DataFrame, guard: Guard, row_key: str, text_col: str = "i
     raw = F.col(text_col).cast("binary")
     values = F.transform(F.filter("annotations", lambda a: a["disposition"] == SUPPORTED), lambda a: F.substring(raw, a["start"] + 1, a["end"] - a["start"]).cast("string"))
     held = held.withColumn("_leak", F.exists(values, lambda v: F.contains(F.col("_text"), v))).withColumn("_answer", answer(F.col("_text"), F.col("_tokens"), F.col("_recipe")))
+    masked = F.filter("_m.findings", lambda f: guard.action(f["entity"]) == gd.MASK)
+    held = held.withColumn("_pairs", masking.placeholder_map(F.col(text_col), F.col("_text"), masked))
     held = restore(held, "_answer", "_tokens", "_r").withColumn("_back", F.col("_r.text"))
     same, mask = F.col("_recipe") == "identity", F.col("_action") == gd.MASK
     outcome = (
@@ -164,12 +233,13 @@ def lifecycle(records: DataFrame, guard: Guard, row_key: str, text_col: str = "i
         .when(~mask, F.struct(F.lit("error").alias("outcome"), F.lit("not blocked").alias("reason")))
         .when(F.col("_status") != gd.OK, F.struct(F.lit("error").alias("outcome"), F.lit("mask failed").alias("reason")))
         .when(F.col("_leak"), F.struct(F.lit("error").alias("outcome"), F.lit("leak").alias("reason")))
+        .when(F.col("_pairs").isNull(), F.struct(F.lit("error").alias("outcome"), F.lit("placeholders don't align").alias("reason")))
         .when(same & (F.col("_back") == F.col(text_col)), F.struct(F.lit("ok").alias("outcome"), F.lit(None).cast("string").alias("reason")))
         .when(same, F.struct(F.lit("restore_miss").alias("outcome"), F.lit("not restored").alias("reason")))
         .when((F.col("_answer") != F.col("_text")) & (F.col("_back") != F.col(text_col)), F.struct(F.lit("mutation_miss").alias("outcome"), F.lit(None).cast("string").alias("reason")))
         .otherwise(F.struct(F.lit("restore_miss").alias("outcome"), F.lit("recipe changed nothing").alias("reason")))
     )
-    return held.select(F.col(row_key), F.col("_action").alias("action"), F.col("_recipe").alias("recipe"), outcome.alias("o")).select(row_key, "action", "recipe", "o.*")
+    return held.select(F.col(row_key), F.col("_action").alias("action"), F.col("_recipe").alias("recipe"), F.sha2(raw, 256).alias("input_sha256"), once(outcome).alias("o")).select(row_key, "action", "recipe", "o.*", "input_sha256")
 
 
 def lifecycle_summary(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ if any row has one. Nothing is inferred, and no message holds a record's text.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -27,6 +28,8 @@ FIELDS = {
     "suite": ["schema_version", "suite_id", "source_id", "source_record_id", "mapping_version", "input", "input_sha256", "annotations", "declared_entities", "lifecycle"],
 }
 INNER = {"annotations": ["source_label", "mapped_entity", "start", "end", "disposition", "reason"], "expected": ["entity", "start", "end"]}
+#: Fixed value: bytes that a line may have.
+MOST_LINE_BYTES = 1 << 20
 ACTIONS, RECIPES = ("mask", "block", "allow"), ("identity", "mutate_placeholder", "delete_placeholder", "collision")
 
 
@@ -61,9 +64,25 @@ def _strict(lines: DataFrame, kind: str, schema: str) -> DataFrame:
     inner_of = "annotations" if kind == "suite" else "expected"
     parts = F.from_json(F.get_json_object(line, f"$.{inner_of}"), "array<map<string,string>>")
     inner = F.exists(F.coalesce(parts, F.array().cast("array<map<string,string>>")), lambda m: F.size(F.array_except(F.map_keys(m), F.array(*(F.lit(x) for x in INNER[inner_of])))) > 0)
-    whole = F.trim(line).startswith("{") & F.trim(line).endswith("}")
     read = lines.where(F.trim(line) != "").withColumn("r", F.from_json(line, schema))
-    return read.withColumn("error", F.when(keys.isNull() | ~whole | F.col("r.schema_version").isNull(), "not a JSON object").when(extra | inner, "unknown field"))
+    return read.withColumn("error", F.when(keys.isNull() | ~one_object(line) | F.col("r.schema_version").isNull(), "not a JSON object").when(extra | inner, "unknown field").when(F.octet_length(line) > MOST_LINE_BYTES, "line is too long"))
+
+
+def is_object(line: str | None) -> bool:
+    try:
+        return isinstance(json.loads(line or ""), dict)
+    except ValueError:
+        return False
+
+
+def one_object(line: Column) -> Column:
+    """Whether a line is one JSON object with nothing after it. Spark's own parsers stop at an object's end, so this asks one that doesn't."""
+
+    @F.pandas_udf("boolean")
+    def whole(lines: pd.Series) -> pd.Series:
+        return lines.map(is_object).astype(bool)
+
+    return whole(line)
 
 
 def case_rows(lines: DataFrame) -> DataFrame:

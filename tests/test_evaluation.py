@@ -8,9 +8,9 @@ from spanveil.functions import intervals as iv
 from spanveil.operators.errors import SuiteError
 from spanveil.operators.guard import Guard
 from spanveil.plans import evaluation as ev
-from spanveil.plans import gates, mapping
+from spanveil.plans import gates, mapping, reports
 from spanveil.plans.cli import main
-from spanveil.sources import suites
+from spanveil.sources import generator, suites
 
 
 def test_interval_algebra_against_sets(spark):
@@ -53,11 +53,22 @@ def test_suite_profiles(spark, suite_file):
         assert main([suite_file, "--profile", profile, "--format", "json"], spark, out) == code
         found = json.loads(out.getvalue())
         if profile == "contract":
-            assert (found["total"]["tp"], found["total"]["fp"], found["total"]["fn"]) == (3, 0, 1)
+            assert found["summary"] == {"tp": 3, "fp": 0, "fn": 1} and found["status"] == "fail" and found["source_ids"] == ["src0", "src1"]
+            assert [(r["source_id"], r["tp"], r["fn"]) for r in found["by_source"]] == [("src0", 1, 1), ("src1", 2, 0)]
+            assert [(r["entity"], r["negative_cases"], r["false_positive_cases"], r["fnr"]) for r in found["entities"] if r["entity"] == "PERSON"] == [("PERSON", 4, 0, 1.0)]
+            failure = found["diagnostics"]["failures"][0]
+            assert (failure["source_record_id"], failure["source_label"], failure["kind"], failure["gold_start"], failure["gold_end"]) == ("4", "NAME", "fn", 0, 7) and "predicted_start" not in failure
         if profile == "exposure":
-            assert (found["total"]["sensitive"], found["total"]["leaked"]) == (69, 7)
+            assert (found["summary"]["sensitive_bytes"], found["summary"]["leaked_sensitive_bytes"]) == (69, 7)
+            labels = {r["source_label"]: r for r in found["by_label"]}
+            assert (labels["MAIL"]["fully_covered_span_count"], labels["NAME"]["fully_covered_span_count"]) == (1, 0)
+            assert found["ignored"] == [{"source_label": "OTHER", "reason": "gap", "count": 1}]
         if profile == "lifecycle":
-            assert {r["outcome"]: r["count"] for r in found["rows"]} == {"ok": 1, "mutation_miss": 1, "blocked": 1, "error": 1, "skipped": 1}
+            assert (found["ok"], found["mutation_miss"], found["blocked"], found["errors"]) == (1, 1, 1, 1)
+            assert [(r["source_record_id"], r["outcome"]) for r in found["diagnostics"]] == [("4", "error")]
+        out = io.StringIO()
+        assert main([suite_file, "--profile", profile, "--fail-on-regression"], spark, out) == int(profile != "exposure")
+        assert out.getvalue().startswith(f"# {profile} evaluation report") and "a@b.co" not in out.getvalue()
 
 
 def test_gate_and_bad_use(spark, suite_file, tmp_path):
@@ -68,6 +79,46 @@ def test_gate_and_bad_use(spark, suite_file, tmp_path):
     assert main([suite_file], spark, io.StringIO()) == 2  # a second-version file isn't a first-version one
 
 
+def test_lines_with_more_than_one_object(spark):
+    good = json.dumps(record(1, 'm "}{" [\\', []), ensure_ascii=False)
+    lines = [good, good + " ", good + '{"x":1}', good + " {}", good + "}", good + ' "s"', good + " 5", "[" + good + "]", '"s"' + good, good[:-1], good + "{", "{}" + good]
+    rows = suites.suite_rows(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert [r.error is None for r in rows] == [True, True] + [False] * 10
+    long = json.dumps(record(1, "x" * (1 << 20), []))
+    assert suites.suite_rows(spark.createDataFrame([(long,)], "line string")).head().error == "line is too long"
+
+
+def test_scope_of_each_record(spark, tmp_path):
+    rows = [record(1, "a@b.co and 4111111111111111", [("M", "EMAIL", 0, 6, "supported", "")], declared_entities=["EMAIL"]), record(2, "4111111111111111", [], declared_entities=["BANK_CARD"]), record(3, "+7 (912) 345-67-89 c@d.co", [])]
+    path = tmp_path / "s.jsonl"
+    path.write_text("\n".join(json.dumps(r) for r in rows))
+    suite = suites.load_suite(spark, str(path))
+    assert {(r.record, r.entity) for r in ev.record_scopes(suite).collect()} == {("1", "EMAIL"), ("2", "BANK_CARD"), ("3", "EMAIL"), ("3", "BANK_CARD")}
+    found = {r["entity"]: r for r in reports.contract_report(suite, Guard.full(key="k"))["entities"]}
+    assert (found["EMAIL"]["tp"], found["EMAIL"]["fp"], found["EMAIL"]["negative_cases"], found["EMAIL"]["false_positive_cases"]) == (1, 1, 1, 1)
+    assert (found["BANK_CARD"]["fp"], found["BANK_CARD"]["negative_cases"]) == (1, 2) and "PHONE" not in found
+
+
+def test_generated_suite(spark):
+    rows = generator.smoke_rows()
+    assert len(rows) == 29 and rows == generator.smoke_rows() and rows != generator.smoke_rows(1)
+    suite = generator.smoke_suite(spark)
+    contract = reports.contract_report(suite, Guard.full(key="k"))
+    assert contract["summary"] == {"tp": 22, "fp": 0, "fn": 0} and contract["status"] == "pass"
+    cycle = reports.lifecycle_report(suite, Guard.full(key="k"))
+    assert (cycle["ok"], cycle["blocked"], cycle["mutation_miss"], cycle["restore_miss"], cycle["errors"]) == (15, 4, 3, 0, 0)
+
+
+def test_placeholders_are_read_off_the_masked_text(spark):
+    from spanveil.operators.masking import placeholder_map
+
+    guard = Guard.full(key="k")
+    masked = guard.mask(spark.createDataFrame([(1, "я a@b.co {{LLMG_x c@d.co"), (2, "none")], "id long, text string"), "id")
+    held = masked.select("id", "masked.tokens", placeholder_map(F.col("text"), F.col("masked.text"), F.col("masked.findings")).alias("pairs"), placeholder_map(F.col("text"), F.concat(F.col("masked.text"), F.lit("!")), F.col("masked.findings")).alias("off"))
+    for r in held.collect():
+        assert r.pairs == r.tokens and r.off is None
+
+
 @pytest.mark.parametrize("change", [{"schema_version": 3}, {"input_sha256": "0" * 64}, {"more": 1}, {"source_id": " "}, {"annotations": [{"source_label": "A", "mapped_entity": "EMAIL", "start": 0, "end": 99, "disposition": "supported", "reason": ""}]}])
 def test_strict_rows(spark, tmp_path, change):
     path = tmp_path / "s.jsonl"

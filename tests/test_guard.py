@@ -122,14 +122,122 @@ def test_events_hold_no_values(texts):
     assert {(r.outcome, r.calls) for r in totals(events).collect()} == {("success", 5), ("blocked", 1)}
 
 
-def test_native_and_plain_forms_agree(spark):
-    from spanveil.functions import scanners
+def test_events_of_all_operations(spark, texts):
+    from pyspark.sql import Observation
 
-    rows = ["+7 (912) 345-67-89 8 (495) 1234567 +1 (415) 555-0132", "4111 1111 1111 1111 4111-1111-1111-1111 5555555555554444", "7707083893 500100732259 7707083894", "112-233-445 95 11223344595 x11223344595", "яяя 4111111111111111.5"]
+    from spanveil.operators import observe as ob
+
+    guard = Guard.full(key="k", secret_action="mask")
+    seen, masked = guard.detect(texts), guard.mask(texts, "id")
+    back = restore(masked.select(F.concat(F.col("masked.text"), F.lit(" {{LLMG_" + "0" * 32 + "_0001}}")).alias("r"), F.col("masked.tokens").alias("t")), "r", "t")
+    events = ob.detect_events(seen).unionByName(ob.mask_events(guard, masked)).unionByName(ob.restore_events(back, "r"))
+    assert events.schema.simpleString() == spark.createDataFrame([], ob.EVENT).schema.simpleString()
+    by = {(r.operation, r.outcome): r for r in totals(events).collect()}
+    assert {k: r.calls for k, r in by.items()} == {("detect", "success"): 6, ("mask", "success"): 6, ("restore", "restore_miss"): 5, ("restore", "success"): 1}
+    assert by["restore", "restore_miss"].restore_misses == 5 and by["detect", "success"].findings == by["mask", "success"].findings == 7
+    watch = Observation("calls")
+    assert ob.observed(masked, "masked", watch).select("id").collect() and watch.get == {"calls": 6, "success": 6, "blocked": 0, "restore_miss": 0, "error": 0}
+    called = spark.sparkContext.accumulator(0)
+
+    def call(event):
+        called.add(event.finding_count)
+        raise RuntimeError("an observer's own error")
+
+    assert ob.each_event(ob.detect_events(seen), call).count() == 6 and called.value == 7
+    for wrong in (lambda: ob.each_event(events, None), lambda: ob.observed(masked, "masked", None), lambda: ob.unsafe_rows("x", seen, "text", "detected")):
+        with pytest.raises(ConfigError):
+            wrong()
+
+
+def test_what_is_shown(texts):
+    from spanveil.operators import observe as ob
+
+    row = Guard.full(key="k").mask(texts, "id").where("id = 1").head()
+    shown = ob.mask_result(row.masked)
+    for x in (repr(shown), str(shown), f"{shown}", shown.as_json(), repr(shown.tokens), f"{shown.tokens}", str(shown.tokens)):
+        assert "a@b.co" not in x and "LLMG" not in x and "почта" not in x
+    event = ob.Event("mask", "success", 3, 4, 1, entity_counts={"EMAIL": 1})
+    assert repr(event) == "Event(operation=mask outcome=success input_bytes=3 output_bytes=4 finding_count=1 restore_misses=0 entity_counts=1 action_counts=0)" and '"EMAIL": 1' in event.as_json()
+    raw = ob.unsafe_rows("mask", Guard.full(key="k").mask(texts, "id").where("id = 1"), "text", "masked").head()
+    assert raw.input == TEXT and "LLMG" in raw.output and raw.findings and not hasattr(raw, "tokens")
+
+
+def test_wrong_spans_of_a_callers_column(spark):
+    made = lambda a, b: lambda text: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")))
+    df = spark.createDataFrame([("яя a@b.co",)], "text string")
+    for spans, want in ((made(0, 2), None), (made(0, 1), "utf8_boundary"), (made(3, 3), "span"), (made(0, 99), "span")):
+        row = Guard((d.email(), d.Detector("own", "OWN", 0.5, spans=spans)), key="k").detect(df).head().detected
+        assert (row.error_field, row.error_detector) == (want, want and "own") and len(row.findings) == (0 if want else 2)
+
+
+def test_checked_resolution(spark):
+    from spanveil.operators.resolve import resolve_checked
+
+    kind = "f array<struct<entity:string,start:int,end:int,confidence:double,detector:string>>, text string"
+    out = [r.r for r in spark.createDataFrame([([("E", 0, 2, 0.5, "d"), ("E", 0, 4, 0.5, "d")], "яя"), ([("E", 0, 9, 0.5, "d")], "яя")], kind).select(resolve_checked(F.col("f"), F.col("text")).alias("r")).collect()]
+    assert [(x.start, x.end) for x in out[0].findings] == [(0, 4)] and out[0].error is None and out[1].error == "span" and not out[1].findings
+
+
+def test_tokens_of_one_row_key(spark):
+    df = spark.createDataFrame([(1, "a@b.co"), (1, "c@d.co")], "id long, text string")
+    tokens = {r.masked.tokens[0].token for r in Guard((d.email(),), key="k").mask(df, "id").collect()}
+    assert len(tokens) == 2
+
+
+def test_many_spans_in_a_row(spark):
+    n = 3000
+    text = " ё ".join(f"+7 (912) 345-67-{i % 90 + 10}" for i in range(n)) + " x 11223344595, 112-233-445 95"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    row = Guard((d.phone(), d.snils(), d.inn()), key="k").mask(df, "id").head().masked
+    assert len(row.findings) == n + 2 and all(text.encode()[f.start : f.end].decode()[:2] in ("+7", "11") for f in row.findings)
+    back = restore(spark.createDataFrame([(row.text, row.tokens)], "r string, t array<struct<token:string,value:string>>"), "r", "t").head().restored
+    assert back.text == text and back.misses == 0
+
+
+def test_resolve_against_plain_code(spark):
+    import random
+
+    from spanveil.operators.resolve import PRIORITY
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(80):
+        row = []
+        for _ in range(rng.choice([0, 1, 2, 5, 30, 150])):
+            a = rng.randrange(600)
+            row.append((rng.choice(["EMAIL", "PHONE", "INN", "OWN"]), a, a + rng.randint(1, rng.choice([3, 40])), rng.choice([0.5, 0.9]), rng.choice("xy")))
+        rows.append((row,))
+
+    def plain(row):
+        chosen = []
+        for f in sorted(row, key=lambda f: (-PRIORITY.get(f[0], 0), f[1] - f[2], -f[3], f[1], f[2], f[0], f[4])):
+            if all(f[2] <= c[1] or c[2] <= f[1] for c in chosen):
+                chosen.append(f)
+        return sorted(chosen, key=lambda f: (f[1], f[2], f[0], f[4], -f[3]))
+
+    df = spark.createDataFrame(rows, "f array<struct<entity:string,start:int,end:int,confidence:double,detector:string>>")
+    got = [[tuple(x) for x in r.r] for r in df.select(resolve(F.col("f")).alias("r")).collect()]
+    assert got == [plain(r[0]) for r in rows]
+
+
+def test_pattern_spans_against_plain_code(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab1яё日 ") for _ in range(rng.choice([0, 3, 40, 900]))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for pattern in ("[0-9]+", "a|бя", "яё?", "日+b*", "b(?=a)", "(?:a1|1)"):
+        got = {(r.id, r.start, r.end) for r in Guard((d.regexp("own", "OWN", pattern),), key="k").findings_table(df, ["id"]).collect()}
+        assert got == {(i, a, b) for i, t in enumerate(texts) for a, b in d.byte_offsets(t, [m.span() for m in re.finditer(pattern, t)])}
+
+
+def test_hints_let_every_finding_through(spark):
+    rows = ["+7 (912) 345-67-89 8 (495) 1234567 +1 (415) 555-0132", "8.495.123.45.67 89123456789", "4111 1111 1111 1111 4111-1111-1111-1111 5555555555554444", "7707083893 500100732259 7707083894", "112-233-445 95 11223344595 x11223344595", "яяя 4111111111111111.5", "паспорт 45 08 123456", "р/с 40702810900000000001", "родился 1 мая 1990"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, text string")
-    for maker, scan in ((d.phone, scanners.phone), (d.bank_card, scanners.bank_card), (d.inn, scanners.inn), (d.snils, scanners.snils)):
-        got = {(r.id, r.start, r.end) for r in Guard((maker(),), key="k").findings_table(df, ["id"]).collect()}
-        assert got == {(i, a, b) for i, t in enumerate(rows) for a, b in d.byte_offsets(t, scan(t))}
+    for detector in d.builtin():
+        got = {(r.id, r.start, r.end) for r in Guard((detector,), key="k").findings_table(df, ["id"]).collect()}
+        assert got == {(i, a, b) for i, t in enumerate(rows) for a, b in d.byte_offsets(t, detector.scan(t))}
 
 
 def test_empty_table(spark):
