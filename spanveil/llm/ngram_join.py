@@ -38,7 +38,7 @@ BAND = U((1 << BAND_BITS) - 1)
 #: Tokens that a text can have at most: a binary value has under 2 GB.
 MOST_TOKENS = 1 << 31
 #: Sets and tokens in one unit of work; a larger candidate component is cut.
-UNIT_SETS, UNIT_TOKENS = 512, 1 << 20
+UNIT_SETS, UNIT_TOKENS = 2048, 1 << 20
 GROUP = 32
 #: Signature rows that a task takes; bounds the partition count of their shuffle from below.
 TASK_ROWS = 1 << 20
@@ -350,9 +350,8 @@ def _doc_signatures(docs: DataFrame, text: Column, n: int, bands: Bands, parts:
 def _candidate_sets(docs: DataFrame, doc: Column, text: Column, n: int, wanted: DataFrame) -> DataFrame:
     """node, comp, n, tokens (bytes) of the candidates in `wanted` (node, id, text_hash, name_a, name_b, comp), from a row that has such a text."""
     given = docs.select(doc.alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    small = wanted.count() * 64 <= BROADCAST_BYTES  # a count of rows of fixed size bounds what is broadcast
-    own = wanted.select(F.col("id").alias("of"), F.col("text_hash").alias("hash"), "node", "comp", "name_a", "name_b")
-    met = given.join(F.broadcast(own) if small else own, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash")))
+    own = _few(wanted.select(F.col("id").alias("of"), F.col("text_hash").alias("hash"), "node", "comp", "name_a", "name_b"))
+    met = given.join(own, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # repeated rows of a task; those of several tasks meet in a unit
@@ -433,10 +432,16 @@ def _refined(large: DataFrame, bands: Bands, seed: int, n_tokens: int) -> DataFr
 
     named = large.withColumn("name", short_name(F.xxhash64("node")))
     enough, found = _candidates(map_batches(named.select("name", "comp", "tokens"), run, DEALT), bands, parts)
-    kept = named.join(enough, "name").join(found.select(F.col("node").alias("name"), F.col("component").alias("finer")), "name")
+    finer = written(enough.join(found.select(F.col("node").alias("name"), F.col("component").alias("finer")), "name"), "ngram-finer")
+    kept = named.join(_few(finer), "name")
     return written(kept.select("node", F.xxhash64("comp", "finer").alias("comp"), "n", "tokens"), "ngram-sets")
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Written rows of a few numbers each, broadcast if their count says that they are small, so that the tokens they are joined with stay where they are."""
+    return F.broadcast(keys) if keys.count() * 64 <= BROADCAST_BYTES else keys
+
+
 def _shape(sizes: DataFrame, members: str, total: str, name: str) -> DataFrame:
     """comp and, as `name`, how many blocks of a unit's size its sets make."""
     return sizes.select("comp", F.greatest(F.ceil(F.col(members) / UNIT_SETS), F.ceil(F.col(total) / UNIT_TOKENS)).cast("int").alias(name))
@@ -451,8 +456,8 @@ def _leader_links(large: DataFrame, sizes: DataFrame, total: int, near: int, of:
     shape = _shape(sizes, "members", "total", "blocks")
     placed = large.select("node", "comp", "tokens").join(shape, "comp")
     h = F.xxhash64("node")
-    picked = large.groupBy("comp", F.pmod(h, F.lit(LEADERS)).alias("slot")).agg(F.min_by("node", h).alias("node")).select("node")
-    leaders = large.select("node", "comp", "tokens").join(picked, "node", "left_semi").join(shape, "comp")
+    picked = written(large.groupBy("comp", F.pmod(h, F.lit(LEADERS)).alias("slot")).agg(F.min_by("node", h).alias("node")).select("node"), "ngram-leaders")
+    leaders = large.select("node", "comp", "tokens").join(_few(picked), "node", "left_semi").join(shape, "comp")
     members = placed.select("comp", _dealt("blocks", 1).alias("block"), "node", "tokens")
     guests = leaders.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "tokens")
     return written(_resolve_units(members.unionByName(guests), total, near, of, ["comp", "block"]), "ngram-links")
@@ -469,7 +474,7 @@ def _block_links(large: DataFrame, sizes: DataFrame, total: int, links: DataFram
     shape = _shape(both, "members", "total", "blocks").join(_shape(both, "asks", "ask_tokens", "chunks"), "comp")
     copies = shape.join(both, "comp").agg(F.coalesce(F.sum(F.col("total") * F.col("chunks") + F.col("ask_tokens") * F.col("blocks")), F.lit(0))).head()[0]
     members = large.join(shape, "comp").select("comp", _dealt("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "tokens", F.lit(False).alias("asks"))
-    queries = large.join(rest.select("node"), "node").join(shape, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _dealt("chunks", 2).alias("chunk"), "node", "tokens", F.lit(True).alias("asks"))
+    queries = large.join(_few(rest.select("node")), "node").join(shape, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _dealt("chunks", 2).alias("chunk"), "node", "tokens", F.lit(True).alias("asks"))
     return written(_resolve_units(members.unionByName(queries), int(copies), near, of, ["comp", "block", "chunk"], "asks"), "ngram-links")
 
 
