@@ -253,3 +253,38 @@ def test_stream(spark, tmp_path):
     q = mask_stream(stream, Guard.full(key="k"), "id").writeStream.format("memory").queryName("masked_rows").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert "a@b.co" not in spark.table("masked_rows").head().masked.text
+
+
+def test_restored_and_counted_streams(spark, tmp_path):
+    from spanveil.streaming.pipelines import restore_stream, windowed_findings
+
+    guard = Guard((d.email(),), key="k")
+    masked = guard.mask(spark.createDataFrame([(1, "mail a@b.co"), (2, "c@d.co")], "id long, text string"), "id")
+    tokens = masked.select("id", F.col("masked.tokens").alias("tokens")).persist()
+    masked.select("id", F.col("masked.text").alias("response")).unionByName(spark.createDataFrame([(3, "x")], "id long, response string")).write.parquet(str(tmp_path / "in"))
+
+    def rows(frame, name, mode):
+        q = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    stream = spark.readStream.schema("id long, response string").parquet(str(tmp_path / "in"))
+    back = {r.id: (r.restored.text, r.restored.status) for r in rows(restore_stream(stream, tokens, "id", "response"), "restored_rows", "append")}
+    assert back == {1: ("mail a@b.co", "success"), 2: ("c@d.co", "success"), 3: (None, "invalid_token_set")}
+    spark.sql("select timestamp '2024-01-01 00:10:00' as ts, 'a@b.co c@d.co' as text union all select timestamp '2024-01-01 01:10:00', 'none'").write.parquet(str(tmp_path / "ev"))
+    events = spark.readStream.schema("ts timestamp, text string").parquet(str(tmp_path / "ev"))
+    counted = rows(windowed_findings(guard.findings_table(events, ["ts"])), "counted_rows", "update")
+    assert [(r.entity, r.findings) for r in counted] == [("EMAIL", 2)]
+
+
+def test_errors_name_no_text(spark):
+    def scan(text):
+        raise ValueError(text)
+
+    row = Guard((d.function("own", "OWN", scan),), key="k").detect(spark.createDataFrame([("secret words",)], "text string")).head()
+    assert "secret words" not in str(row.detected) and row.detected.error_detector == "own"
+    with pytest.raises(ConfigError) as e:
+        d.regexp("own", "OWN", "secret(")
+    assert "secret" not in str(e.value)
+    masked = Guard.full(key="k").mask(spark.createDataFrame([(1, "ghp_" + "A" * 36)], "id long, text string"), "id").head().masked
+    assert "AAAA" not in str(masked) and masked.status == "blocked"
