@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
 from . import masking
 from .detectors import ENTITIES, FINDING, RAW, SECRETS, Detector, builtin, scanning
 from .errors import ConfigError
@@ -135,24 +136,32 @@ class Guard:
         with allowed ones only, the text is as it was. `row_key` tells rows apart; rows of equal key share name spaces.
         """
         text, raw = F.col(text_col), F.col(text_col).cast("binary")
-        # each step is a column of its own: a struct's fields would be computed anew wherever they are named
-        held = self.detect(df, text_col, "_sv_detected").withColumns({"_sv_findings": F.col("_sv_detected.findings"), "_sv_seen": F.col("_sv_detected.status")}).drop("_sv_detected")
-        held = held.withColumn("_sv_resolved", resolve(F.col("_sv_findings")))
-        held = held.withColumn("_sv_masked", F.filter("_sv_resolved", lambda f: self.action(f["entity"]) == MASK))
         key = row_key if isinstance(row_key, Column) else F.col(row_key)
-        some = F.size("_sv_masked") > 0
-        held = held.withColumn("_sv_space", F.when(some, masking.namespace(text, self.key, key, F.size("_sv_masked"))))
-        held = held.withColumn("_sv_tokens", F.when(some & F.col("_sv_space").isNotNull(), masking.token_list(raw, F.col("_sv_masked"), F.col("_sv_space"))).otherwise(F.array().cast(masking.TOKENS)))
-        blocks = F.exists("_sv_resolved", lambda f: self.action(f["entity"]) == BLOCK)
-        held = held.withColumn("_sv_status", F.when(F.col("_sv_seen") != OK, F.col("_sv_seen")).when(blocks, BLOCKED).when(some & F.col("_sv_space").isNull(), COLLISION).otherwise(OK))
-        good = F.col("_sv_status") == OK
-        out = F.struct(
-            F.when(good & some, masking.rebuilt(raw, F.col("_sv_masked"), F.col("_sv_tokens"))).when(good, text).alias("text"),
-            F.when(good, F.col("_sv_resolved")).otherwise(F.array().cast(NONE)).alias("findings"),
-            F.when(good, F.col("_sv_tokens")).otherwise(F.array().cast(masking.TOKENS)).alias("tokens"),
-            F.col("_sv_status").alias("status"),
-        )
-        return held.withColumn(into, once(out)).select(*(F.col(c) for c in df.columns if c != into), into)
+        held = self.detect(df, text_col, "_sv_detected")
+        seen = F.col("_sv_detected")
+
+        # one projection: each step's value is named once by let(), however often it is used
+        def chosen(found: Column) -> Column:
+            return let(found, lambda f: let(resolve(f), lambda r: let(F.filter(r, lambda x: self.action(x["entity"]) == MASK), lambda m: spaced(r, m))))
+
+        def spaced(resolved: Column, masked: Column) -> Column:
+            space = F.when(F.size(masked) > 0, masking.namespace(text, self.key, key, F.size(masked)))
+            return let(space, lambda s: let(F.when(s.isNotNull(), masking.token_list(raw, masked, s)).otherwise(F.array().cast(masking.TOKENS)), lambda t: built(resolved, masked, s, t)))
+
+        def built(resolved: Column, masked: Column, space: Column, tokens: Column) -> Column:
+            blocks, some = F.exists(resolved, lambda f: self.action(f["entity"]) == BLOCK), F.size(masked) > 0
+            status = F.when(seen["status"] != OK, seen["status"]).when(blocks, BLOCKED).when(some & space.isNull(), COLLISION).otherwise(OK)
+            return let(
+                status,
+                lambda st: F.struct(
+                    F.when((st == OK) & some, masking.rebuilt(raw, masked, tokens)).when(st == OK, text).alias("text"),
+                    F.when(st == OK, resolved).otherwise(F.array().cast(NONE)).alias("findings"),
+                    F.when(st == OK, tokens).otherwise(F.array().cast(masking.TOKENS)).alias("tokens"),
+                    st.alias("status"),
+                ),
+            )
+
+        return held.withColumn(into, once(chosen(seen["findings"]))).select(*(F.col(c) for c in df.columns if c != into), into)
 
 
 def _raw(reg: int):
@@ -182,15 +191,15 @@ def _any_word(text: Column, words: list[str]) -> Column:
 
 def restore(df: DataFrame, response_col: str, tokens_col: str, into: str = "restored") -> DataFrame:
     """`df` and struct `into`: text, misses, status. A null token set, or a response that isn't UTF-8, is an error with null text."""
-    held = df.withColumns({"_sv_response": F.col(response_col), "_sv_tokens": F.col(tokens_col)})
-    text, tokens = F.col("_sv_response"), F.col("_sv_tokens")
-    held = held.withColumn("_sv_hits", masking.hits_of(text, F.coalesce(tokens, F.array().cast(masking.TOKENS))))
-    held = held.withColumn("_sv_misses", masking.misses(F.col("_sv_hits")))
-    status = F.when(tokens.isNull(), NO_TOKENS).when(~F.coalesce(F.is_valid_utf8(text), F.lit(True)), INVALID_TEXT).when(F.col("_sv_misses") > 0, RESTORE_MISS).otherwise(OK)
-    held = held.withColumn("_sv_status", status)
-    good = F.col("_sv_status").isin(OK, RESTORE_MISS)
-    out = F.struct(F.when(good, masking.restored(text, tokens, F.col("_sv_hits"))).alias("text"), F.when(good, F.col("_sv_misses")).alias("misses"), F.col("_sv_status").alias("status"))
-    return held.withColumn(into, once(out)).drop("_sv_response", "_sv_tokens", "_sv_hits", "_sv_misses", "_sv_status")
+    text, tokens = F.col(response_col), F.col(tokens_col)
+
+    def built(hits: Column, missed: Column) -> Column:
+        status = F.when(tokens.isNull(), NO_TOKENS).when(~F.coalesce(F.is_valid_utf8(text), F.lit(True)), INVALID_TEXT).when(missed > 0, RESTORE_MISS).otherwise(OK)
+        good = lambda st, value: F.when(st.isin(OK, RESTORE_MISS), value)
+        return let(status, lambda st: F.struct(good(st, masking.restored(text, tokens, hits)).alias("text"), good(st, missed).alias("misses"), st.alias("status")))
+
+    hits = masking.hits_of(text, F.coalesce(tokens, F.array().cast(masking.TOKENS)))
+    return df.withColumn(into, once(let(hits, lambda h: let(masking.misses(h), lambda m: built(h, m)))))
 
 
 def entity_counts(findings: Column) -> Column:
