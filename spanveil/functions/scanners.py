@@ -10,9 +10,11 @@ import base64
 import binascii
 import bisect
 import ipaddress
+import itertools
 import json
 import re
 from datetime import date
+from functools import lru_cache
 
 Span = tuple[int, int]
 
@@ -185,6 +187,8 @@ def url(text: str) -> list[Span]:
 
 _IP4 = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}")
 _IP6 = re.compile(r"(?:[0-9a-fA-F]{0,4}:){1,6}(?:[0-9a-fA-F]{0,4}|(?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}))")
+#: Characters of the longest IPv6 address, whose last part is an IPv4 one.
+LONGEST_IP6 = 45
 _TAIL6 = re.compile(r"[:.][0-9a-fA-F:.]*")
 
 
@@ -193,6 +197,19 @@ def ip_alone(text: str, start: int, end: int) -> bool:
     return stands_alone(text, start, end) and not (after[:1] == ":" or re.match(r"\.[0-9]", after))
 
 
+class Cover:
+    """Spans that are asked whether one of them holds another."""
+
+    def __init__(self, spans: list[Span]):
+        lined = sorted(spans)
+        self.starts = [a for a, _ in lined]
+        self.reach = list(itertools.accumulate((b for _, b in lined), max))
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.starts, start)
+        return k > 0 and self.reach[k - 1] >= end
+
+
 def apart(spans: list[Span]) -> list[Span]:
     """In order; of overlapping ones the longest, then the first."""
     out: list[Span] = []
@@ -207,20 +224,22 @@ def ip(text: str) -> list[Span]:
     """Bracketed IPv6 first, then other IPv6 outside all brackets, then IPv4; of overlapping ones the longest, then the first."""
     found: list[Span] = []
     if ":" in text:
-        brackets = [(i.end(), close) for i in re.finditer(r"\[", text) if (close := text.find("]", i.end())) >= 0] if "]" in text else []
-        found += [(a, b) for a, b in brackets if ip6_ok(text[a:b]) and stands_alone(text, a, b)]
+        shuts = [m.start() for m in re.finditer(r"\]", text)]
+        brackets = [(m.end(), shuts[k]) for m in re.finditer(r"\[", text) if (k := bisect.bisect_left(shuts, m.end())) < len(shuts)]
+        found += [(a, b) for a, b in brackets if b - a <= LONGEST_IP6 and ip6_ok(text[a:b]) and stands_alone(text, a, b)]
+        bracketed = Cover(brackets)
         for m in _IP6.finditer(text):
             start, end = m.span()
-            if text[end : end + 1] == "%" or any(a <= start and end <= b for a, b in brackets):
+            if text[end : end + 1] == "%" or bracketed.holds(start, end):
                 continue
             while ip6_ok(text[start:end]) and (more := _TAIL6.match(text, end)) and ip6_ok(text[start : more.end()]):
                 end = more.end()
             if ip_alone(text, start, end) and ip6_ok(text[start:end]):
                 found.append((start, end))
-    wide = list(found)
+    wide = Cover(found)
     for m in _IP4.finditer(text):
         start, end = m.span()
-        if not any(a <= start and end <= b for a, b in wide) and ip_alone(text, start, end) and ip4_ok(m[0]):
+        if not wide.holds(start, end) and ip_alone(text, start, end) and ip4_ok(m[0]):
             found.append((start, end))
     return apart(found)
 
@@ -298,13 +317,16 @@ ACCOUNT_MARKERS = ("банковский счёт", "банковский сче
 BIRTH_MARKERS = ("дата рождения", "д.р.", "родился", "родилась")
 GAP_WORDS = ("рф", "серия", "номер")
 GAP_BYTES, CODE_GAP_BYTES = 48, 8
+#: The longest marker, the widest gap, and a character before.
+MARKED_CHARS = max(map(len, (*PASSPORT_MARKERS, *ACCOUNT_MARKERS, *BIRTH_MARKERS))) + GAP_BYTES + 2
 _GAP = re.compile(rf"(?:[{WHITE}:№#,-]|(?:{'|'.join(GAP_WORDS)})(?![^\W\d_]))*", re.IGNORECASE)
 _CODE = re.compile(rf"([{WHITE}:№#,-]*)([0-9]{{9}})")
 
 
 def marked(text: str, start: int, markers) -> bool:
     """A marker stands before `start` on the same line, as its last of that kind, with nothing but filler between."""
-    line = text[text.rfind("\n", 0, start) + 1 : start]
+    line = text[max(0, start - MARKED_CHARS) : start]  # a marker that begins earlier is too far away
+    line = line[line.rfind("\n") + 1 :]
     low = line.lower()
     if len(low) != len(line):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in line)
@@ -329,18 +351,24 @@ _ACCOUNT = re.compile(r"[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}"), re.compi
 _BANK = re.compile("бик", re.IGNORECASE)
 
 
-def bank_code(text: str, start: int, end: int) -> str | None:
-    """The first labelled bank code on the account's line, apart from the account."""
-    begin = text.rfind("\n", 0, start) + 1
-    stop = text.find("\n", end)
-    stop = len(text) if stop < 0 else stop
+@lru_cache(1)  # accounts of a line ask one after another
+def bank_codes(text: str, begin: int, stop: int) -> list[tuple[int, int, str]]:
+    """The labelled bank codes of a line, in order."""
+    out = []
     for m in _BANK.finditer(text, begin, stop):
         if wordy(text[m.start() - 1 : m.start()] if m.start() > begin else "") or text[m.end() : m.end() + 1].isalpha():
             continue
         code = _CODE.match(text, m.end(), stop)
-        if code and len(code[1].encode()) <= CODE_GAP_BYTES and number_alone(text, *code.span(2)) and (code.end(2) <= start or end <= code.start(2)):
-            return code[2]
-    return None
+        if code and len(code[1].encode()) <= CODE_GAP_BYTES and number_alone(text, *code.span(2)):
+            out.append((*code.span(2), code[2]))
+    return out
+
+
+def bank_code(text: str, start: int, end: int) -> str | None:
+    """The first labelled bank code on the account's line, apart from the account."""
+    begin = text.rfind("\n", 0, start) + 1
+    stop = text.find("\n", end)
+    return next((code for a, b, code in bank_codes(text, begin, len(text) if stop < 0 else stop) if b <= start or end <= a), None)
 
 
 def account_ok(text: str, start: int, end: int) -> bool:
