@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["detect_email", "detect_inn", "detect_person", "detect_url", "mask_documents", "interval_union_bytes", "eval_contract", "events_hourly_findings"]
+SOME = ["detect_email", "detect_inn", "detect_person", "detect_url", "mask_documents", "interval_union_bytes", "eval_contract", "events_hourly_findings", "finding_errors", "suite_rows_strict", "map_labels", "placeholders_distinct", "detect_inn_12", "eval_by_label"]
 
 
 def same(spark, name):
