@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lower_ascii
+from .common import free_name, lower_ascii
 
 WORDS = 5
 K = 128
@@ -142,14 +142,16 @@ def with_next(docs: DataFrame, id_col: str, carry: list[str], range_rows: int =
     is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
     dealt = given.withColumn("at", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
     dealt = dealt.select("row", "id", "h", "at.*")
+    # a column of its own, not a struct's field: else the window deals the rows anew
+    to, place = free_name("to", names), free_name("place", names)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS + 1)
-    dealt = dealt.repartition(n, "to").select(F.struct("id", "h", "to", "guest", "last").alias("place"), *(F.col(f"row.`{c}`") for c in names))
+    dealt = dealt.select(F.col("to").alias(to), F.struct("id", "h", "guest", "last").alias(place), *(F.col(f"row.`{c}`") for c in names)).repartition(n, to)
     if prepare:
         dealt = prepare(dealt)
-    order = Window.partitionBy("place.to").orderBy("place.last", F.col("place.id").asc_nulls_first(), "place.h", "place.guest")
-    new = [c for c in dealt.columns if c != "place"]
-    ahead = dealt.select("place", *(F.col(f"`{c}`") for c in new), *(F.lead(c).over(order).alias(f"next_{c}") for c in carry))
-    return ahead.where(~F.col("place.guest")).drop("place")
+    order = Window.partitionBy(to).orderBy(F.col(place)["last"], F.col(place)["id"].asc_nulls_first(), F.col(place)["h"], F.col(place)["guest"])
+    new = [c for c in dealt.columns if c not in (to, place)]
+    ahead = dealt.select(place, *(F.col(f"`{c}`") for c in new), *(F.lead(c).over(order).alias(f"next_{c}") for c in carry))
+    return ahead.where(~F.col(place)["guest"]).drop(place)
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, k: int = K) -> DataFrame:
