@@ -15,6 +15,8 @@ Documents are sets of word n-grams (64-bit hashes). Equal sets are one node. The
 3. Candidate components that are too large for a task are first cut by further signatures. What stays large are real
    groups of near copies: they are dealt into blocks, each with a few leaders of the whole component, and those that
    this doesn't connect with its main part are queries against all members, block by block, by way of the matrix again.
+   Queries are written once, and whoever holds a block reads them from the shared folder, so disk doesn't grow with the
+   number of blocks times that of queries.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, new_path, written
 from .components import components, forest
 
 U = np.uint64
@@ -368,39 +372,54 @@ def _candidate_sets(docs: DataFrame, doc: Column, text: Column, n: int, wanted:
     return map_batches(met.select("text", "node", "comp", "name_a", "name_b"), run, "node long, comp long, n long, tokens binary")
 
 
-def _resolve_units(rows: DataFrame, total: int, near: int, of: int, keys: list[str], query_col: str | None = None) -> DataFrame:
-    """u, v: star edges of what links connect within each unit (rows that agree in `keys`, `total` tokens in all), by the token-group matrix."""
-    cols = [*keys, "node", "tokens", *([query_col] if query_col else [])]
+def _asking(folder: str, comp: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Nodes and tokens of the sets that ask a component, file by file."""
+    store, base = pafs.FileSystem.from_uri(folder)
+    found = store.get_file_info(pafs.FileSelector(f"{base}/comp={comp}", allow_not_found=True, recursive=True))
+    for path in sorted(x.path for x in found if x.path.endswith(".parquet")):
+        with store.open_input_file(path) as file:
+            rows = pq.ParquetFile(file).read(["node", "tokens"])
+        yield rows["node"].to_pylist(), rows["tokens"].to_pylist()
+
+
+def _resolve_units(rows: DataFrame, total: int, near: int, of: int, keys: list[str], asking: str | None = None) -> DataFrame:
+    """u, v: star edges of what links connect within each unit (rows that agree in `keys`, `total` tokens in all), by the token-group matrix. With `asking`, a folder of sets by component (the first key), only links between these and each unit count."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_TOKENS + 1)
-    dealt = rows.select(*cols).repartition(parts, *keys).sortWithinPartitions(*keys, "node")
+    dealt = rows.select(*keys, "node", "tokens").repartition(parts, *keys).sortWithinPartitions(*keys, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, sets, asks = None, [], [], []
+        unit, nodes, sets = None, [], []
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def linked(nodes: list[int], sets: list[np.ndarray], query: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
             if len(sets) > 1:
                 name = np.array(nodes, np.int64)
-                root = name[link_sets(sets, near, of, np.array(asks, bool) if query_col else None)]
+                root = name[link_sets(sets, near, of, query)]
                 apart = root != name
                 if apart.any():
                     yield pa.RecordBatch.from_arrays(_longs(name[apart], root[apart]), ["u", "v"])
 
+        def done() -> Iterator[pa.RecordBatch]:
+            if not asking:
+                yield from linked(nodes, sets)
+            elif nodes:
+                held = set(nodes)
+                for asks, tokens_of in _asking(asking, unit[0]):
+                    guests = {x: np.frombuffer(t, U) for x, t in zip(asks, tokens_of, strict=True) if x not in held}
+                    both = [*nodes, *guests]
+                    yield from linked(both, [*sets, *guests.values()], np.isin(both, asks))
+
         for batch in batches:
             k = len(keys)
             key = list(zip(*(batch.column(i).to_pylist() for i in range(k)), strict=True))
             own = batch.column(k).to_pylist()
-            ask = batch.column(k + 2).to_pylist() if query_col else None
             for i, raw in enumerate(batch.column(k + 1)):
                 if key[i] != unit:
                     yield from done()
-                    unit, nodes, sets, asks = key[i], [], [], []
+                    unit, nodes, sets = key[i], [], []
                 if nodes and nodes[-1] == own[i]:  # a node is a set: the same tokens again
-                    if ask and ask[i]:
-                        asks[-1] = True
                     continue
                 nodes.append(own[i])
                 sets.append(np.frombuffer(raw.as_py(), U))
-                asks.append(bool(ask[i]) if ask else True)
         yield from done()
 
     return map_batches(dealt, run, "u long, v long")
@@ -471,11 +490,12 @@ def _block_links(large: DataFrame, sizes: DataFrame, total: int, links: DataFram
     rest = written(placed.join(mains, "comp").where("root <> main").select("node", "comp", "n"), "ngram-rest")
     asking = written(rest.groupBy("comp").agg(F.count(F.lit(1)).alias("asks"), F.sum("n").alias("ask_tokens")), "ngram-rest")
     both = sizes.join(asking, "comp")
-    shape = _shape(both, "members", "total", "blocks").join(_shape(both, "asks", "ask_tokens", "chunks"), "comp")
-    copies = shape.join(both, "comp").agg(F.coalesce(F.sum(F.col("total") * F.col("chunks") + F.col("ask_tokens") * F.col("blocks")), F.lit(0))).head()[0]
-    members = large.join(shape, "comp").select("comp", _dealt("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "tokens", F.lit(False).alias("asks"))
-    queries = large.join(_few(rest.select("node")), "node").join(shape, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _dealt("chunks", 2).alias("chunk"), "node", "tokens", F.lit(True).alias("asks"))
-    return written(_resolve_units(members.unionByName(queries), int(copies), near, of, ["comp", "block", "chunk"], "asks"), "ngram-links")
+    shape = written(_shape(both, "members", "total", "blocks").join(_shape(both, "asks", "ask_tokens", "chunks"), "comp"), "ngram-rest")
+    asks = large.join(_few(rest.select("node")), "node").join(_few(shape), "comp").select("comp", _dealt("chunks", 2).alias("chunk"), "node", "tokens")
+    folder = new_path(large.sparkSession, "ngram-asks")
+    asks.repartition("comp", "chunk").write.partitionBy("comp", "chunk").parquet(folder)
+    members = large.join(_few(shape), "comp").select("comp", _dealt("blocks", 1).alias("block"), "node", "tokens")
+    return written(_resolve_units(members, total, near, of, ["comp", "block"], folder), "ngram-links")
 
 
 def _set_links(docs: DataFrame, doc: Column, text: Column, n: int, near: int, of: int, classes: DataFrame, n_tokens: int) -> DataFrame:

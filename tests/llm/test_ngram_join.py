@@ -55,6 +55,26 @@ def test_against_brute_force(spark, monkeypatch, n, near, unit):
     assert got == brute(rows, n, near, 100)
 
 
+def test_a_large_component_is_not_copied_for_each_block(spark, monkeypatch):
+    """Sets that are alike but hardly link (0.65 of 0.8): nearly all of their component ask all of it."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(52)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 40))) for i in range(300)]
+    rows += [(300 + i, rows[i][1].replace(rows[i][1].split()[0], "other")) for i in range(0, 300, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    resolve, dealt = nj._resolve_units, []
+
+    def counted(given, *args):
+        dealt.append(given.count())
+        return resolve(given, *args)
+
+    monkeypatch.setattr(nj, "UNIT_SETS", 8)
+    monkeypatch.setattr(nj, "_resolve_units", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.link_components(docs, 1, 80, 100).collect()}
+    assert got == brute(rows, 1, 80, 100)
+    assert len(rows) / 2 < max(dealt) < 2 * len(rows)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "p q r s t"), (None, None), (None, "A B C D E F")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
